@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from thicket.llm import frequency, mixing, tokens
+from thicket.llm import clusters, frequency, mixing, tokens
 from thicket.sources.tables import table
 
 QUERIES = {
+    "p2_found": lambda s, d: clusters.leaf_pairs(table(s, d, "leaf")),
+    "p2_members": lambda s, d: clusters.leaf_clusters(table(s, d, "leaf")),
+    "p2_clusters": lambda s, d: clusters.describe(table(s, d, "leaf")),
     "p5_found": lambda s, d: frequency.marked(table(s, d, "leaf")),
     "p5_frequency": lambda s, d: frequency.leaf_frequency(table(s, d, "leaf")),
     "p6_ids": lambda s, d: tokens.document_ids(table(s, d, "documents")),
