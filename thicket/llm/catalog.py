@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from thicket.llm import clusters, frequency, mixing, tokens
+from thicket.llm import clusters, frequency, mixing, overlap, tokens
 from thicket.sources.tables import table
 
 QUERIES = {
+    "p1_found": lambda s, d: overlap.leaf_pairs(table(s, d, "leaf")),
+    "p1_links": lambda s, d: overlap.leaf_links(table(s, d, "leaf")),
     "p2_found": lambda s, d: clusters.leaf_pairs(table(s, d, "leaf")),
     "p2_members": lambda s, d: clusters.leaf_clusters(table(s, d, "leaf")),
     "p2_clusters": lambda s, d: clusters.describe(table(s, d, "leaf")),
@@ -17,4 +19,4 @@ QUERIES = {
     "p7_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_target")),
     "p7_shares": lambda s, d: mixing.shares(table(s, d, "documents"), table(s, d, "mix_target")),
 }
-SQL = {"p5_found": frequency.FOUND_SQL, "p5_frequency": frequency.FREQUENCY_SQL}
+SQL = {"p1_found": overlap.PAIRS_SQL, "p5_found": frequency.FOUND_SQL, "p5_frequency": frequency.FREQUENCY_SQL}
