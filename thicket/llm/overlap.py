@@ -32,12 +32,12 @@ from thicket.sources.tables import counting_rows
 
 THRESHOLD, LEAST = 0.6, 4
 #: Depth of prefixes to begin with, the greatest depth, and the sets from which a neighbourhood is deepened.
-SHALLOW, DEEP, CROWD = 2, 6, 64
+SHALLOW, DEEP, CROWD = 3, 7, 1024
 RECALL, ROUNDS = 0.9995, 3
 #: Trees a round beyond what the recall needs, so that some crowded trees cost a set no second round.
-SPARE = 1.4
+SPARE = 1.25
 #: Pairs that are compared at once.
-BLOCK = 200_000
+BLOCK = 250_000
 
 
 def trees_for(threshold: float, recall: float = RECALL, depth: int = SHALLOW) -> int:
@@ -57,23 +57,22 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], column.flatten().to_numpy()
 
 
-def prefixes(offsets: np.ndarray, values: np.ndarray, first: int, trees: int, deep: int = DEEP) -> np.ndarray:
-    """Prefix ids [set, tree, depth - 1] of non-empty sets: equal where the first hashes are equal."""
-    rng = np.random.default_rng(7 + first)
-    odd = rng.integers(1, 2**63, (trees, deep), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def prefixes(offsets: np.ndarray, values: np.ndarray, first: int, trees: int, depth: int) -> np.ndarray:
+    """Prefix ids [set, tree] of non-empty sets: equal where the first ``depth`` hashes are equal."""
     x, n = values.view(np.uint64), len(offsets) - 1
-    out = np.empty((n, trees, deep), np.uint64)
+    out = np.empty((n, trees), np.uint64)
     with np.errstate(over="ignore"):
         for t in range(trees):
+            odd = np.random.default_rng(7 + first + t).integers(1, 2**63, DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
             so_far = np.full(n, first + t + 1, np.uint64)
-            for d in range(deep):
-                h = x * odd[t, d]
+            for d in range(depth):
+                h = x * odd[d]
                 h ^= h >> np.uint64(31)
                 h *= np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
                 so_far = (so_far ^ np.minimum.reduceat(h, offsets[:-1])) * np.uint64(0xD6E8FEB86659FD93)
                 so_far ^= so_far >> np.uint64(32)
-                out[:, t, d] = so_far
+            out[:, t] = so_far
     return out.view(np.int64)
 
 
@@ -114,20 +113,24 @@ def _neighbours(threshold: Fraction):
     def pairs(table: pa.Table):
         g, rep, active = (table.column(n).to_numpy() for n in ("g", "rep", "active"))
         offsets, values = _lists(table.column("tokens"))
-        step, left, right = 1, [], []
+        step, left, right, n = 1, [], [], 0
         at = np.arange(len(g))
-        while len(at := at[at + step < len(g)]) and len(at := at[g[at] == g[at + step]]):
-            left.append(at)
-            right.append(at + step)
+        while True:
+            at = at[at + step < len(g)]
+            at = at[g[at] == g[at + step]]
+            keep = at[active[at] | active[at + step]]
+            left.append(keep)
+            right.append(keep + step)
+            n += len(keep)
             step += 1
-        if not left:
-            return None
-        i, j = np.concatenate(left), np.concatenate(right)
-        keep = active[i] | active[j]
-        i, j = i[keep], j[keep]
-        keep = similar(offsets, values, i, j, threshold)
-        a, b = rep[i[keep]], rep[j[keep]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            if n and (n >= BLOCK or not len(at)):
+                i, j = np.concatenate(left), np.concatenate(right)
+                over = similar(offsets, values, i, j, threshold)
+                a, b = rep[i[over]], rep[j[over]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                left, right, n = [], [], 0
+            if not len(at):
+                return
 
     def run(batches):
         held: list = []
@@ -141,11 +144,10 @@ def _neighbours(threshold: Fraction):
             g = table.column("g").to_numpy()
             cut_at = int(np.searchsorted(g, g[-1]))  # the last neighbourhood may go on
             if cut_at:
-                if (out := pairs(table.slice(0, cut_at))) is not None:
-                    yield out
+                yield from pairs(table.slice(0, cut_at))
                 held = table.slice(cut_at).combine_chunks().to_batches()
-        if held and (out := pairs(pa.Table.from_batches(held))) is not None:
-            yield out
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
 
     return run
 
@@ -164,55 +166,55 @@ def distinct_sets(rows: DataFrame, key: str, values: list[str], least: int = LEA
     return reps, cut(sets.join(reps, "tokens").select("record", "rep"))
 
 
-def _signed(sets: DataFrame, first: int, trees: int) -> DataFrame:
-    """rep, tree, p (prefix ids by depth) of every set in every tree."""
+def _signed(sets: DataFrame, first: int, trees: int, depth: int) -> DataFrame:
+    """rep, tree, g: the prefix id of every set in every tree."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 offsets, values = _lists(part.column(part.schema.get_field_index("tokens")))
-                p = prefixes(offsets, values, first, trees)
-                n = part.num_rows
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n * trees + 1) * DEEP, pa.int32()), pa.array(p.reshape(-1)))
+                g = prefixes(offsets, values, first, trees, depth)
                 rep = np.repeat(part.column(part.schema.get_field_index("rep")).to_numpy(), trees)
-                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), lists], names=["rep", "tree", "p"])
+                tree = np.tile(np.arange(trees, dtype=np.int32), part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(tree), pa.array(g.reshape(-1))], names=["rep", "tree", "g"])
 
-    return fan_out(sets.select("rep", "tokens")).mapInArrow(run, "rep long, tree int, p array<long>")
+    return fan_out(sets.select("rep", "tokens")).mapInArrow(run, "rep long, tree int, g long")
 
 
-def _round(sets: DataFrame, active: DataFrame, first: int, trees: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
-    """Pairs of one round of trees, and rep, miss: the chance that a set missed a partner in it."""
-    signed = cut(_signed(sets, first, trees))
-    # neighbourhoods by depth: those of more than CROWD sets go one hash deeper
-    open_, settled = signed, None
+def _round(sets: DataFrame, active: DataFrame | None, first: int, trees: int, threshold: Fraction) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs of one round of trees with an active set (none: all are), and rep, miss.
+
+    ``miss`` is the logarithm of a set's chance to have missed a partner; only sets of crowded
+    neighbourhoods have a row, as the trees of a round suffice for all others.
+    """
+    s = float(threshold)
+    rows, settled, deeper = _signed(sets, first, trees, SHALLOW), None, None
     for depth in range(SHALLOW, DEEP + 1):
-        rows = open_.select("rep", "tree", "p", F.col("p")[depth - 1].alias("g"))
         n = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-        crowded = cut(n.where(F.col("n") > CROWD))
-        none = crowded.isEmpty()
-        fits = (n if none else n.where(F.col("n") <= CROWD)).select("g")
-        part = rows.join(fits, "g", "left_semi").select("rep", "g", F.lit(depth).alias("depth"))
+        crowded = cut(n.where(F.col("n") > CROWD).select("g"))
+        part = rows.join(n.where(F.col("n") <= CROWD).select("g"), "g", "left_semi").select("rep", "g")
         settled = part if settled is None else settled.unionByName(part)
-        if none:
+        if crowded.isEmpty():
             break
-        open_ = rows.join(crowded.select("g"), "g", "left_semi").select("rep", "tree", "p")
-        if depth == DEEP:  # sets alike in all hashes: not compared here, so they stay active
-            deepest = open_.select("rep", F.col("p")[DEEP - 1].alias("g"), F.lit(DEEP + 1).alias("depth"))
-            crowd = cut(deepest)
-    found = settled.join(sets, "rep").join(active.withColumn("active", F.lit(True)), "rep", "left").na.fill(False, ["active"])
+        # neighbourhoods of more than CROWD sets go one hash deeper in their tree
+        open_ = cut(rows.join(crowded, "g", "left_semi").select("rep", "tree"))
+        # what one more hash costs: from the chance at this depth to that at the next; beyond DEEP a tree finds nothing
+        now, after = (math.log(1 - s**d) if s < 1 else -50.0 for d in (depth, depth + 1))
+        loss = open_.select("rep", F.lit((after if depth < DEEP else 0.0) - now).alias("loss"))
+        deeper = loss if deeper is None else deeper.unionByName(loss)
+        if depth < DEEP:
+            again = sets.join(open_.select("rep").distinct(), "rep", "left_semi")
+            rows = _signed(again, first, trees, depth + 1).join(open_, ["rep", "tree"], "left_semi")
+    found = settled.join(sets, "rep")
+    found = found.withColumn("active", F.lit(True)) if active is None else found.join(active.withColumn("active", F.lit(True)), "rep", "left").na.fill(False, ["active"])
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = found.select("g", "rep", "active", "tokens").repartition(parts, "g").sortWithinPartitions("g")
     pairs = found.mapInArrow(_neighbours(threshold), "a long, b long").distinct()
-    s = float(threshold)
-    # a tree in which a set has no neighbour at depth SHALLOW counts as searched to that depth
-    deeper = settled.where(F.col("depth") > SHALLOW).select("rep", "depth")
-    if not none:
-        deeper = deeper.unionByName(crowd.select("rep", "depth"))
-    lost = F.when(F.col("depth") > DEEP, 0.0).otherwise(F.log(1 - F.pow(F.lit(s), F.col("depth"))))
-    full = math.log(1 - s**SHALLOW) if s < 1 else -1e9
-    miss = deeper.groupBy("rep").agg(F.sum(lost - F.lit(full)).alias("gap")).select("rep", (F.col("gap") + full * trees).alias("miss"))
-    return pairs, miss
+    if deeper is None:
+        return pairs, None
+    full = trees * (math.log(1 - s**SHALLOW) if s < 1 else -50.0)
+    return pairs, deeper.groupBy("rep").agg((F.sum("loss") + full).alias("miss"))
 
 
 def _exact(sets: DataFrame, active: DataFrame, threshold: Fraction) -> DataFrame:
@@ -234,18 +236,21 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, recall: float =
     """a, b: all pairs of distinct sets (rep, tokens) whose similarity reaches the threshold."""
     exact = Fraction(str(threshold))
     trees = trees_for(threshold, recall)
-    # miss is the logarithm of the chance; sets without a row are beyond the wanted recall
-    active, missed, out = sets.select("rep"), None, None
+    active, before, out = None, None, None
     for r in range(ROUNDS):
         pairs, miss = _round(sets, active, r * trees, trees, exact)
         out = pairs if out is None else out.unionByName(pairs)
-        # what earlier rounds left of a set's chance to miss goes on
-        miss = miss if missed is None else missed.join(miss, "rep", "left").select("rep", (F.col("before") + F.coalesce("miss", F.lit(-1e9))).alias("miss"))
-        missed = cut(miss.where(F.col("miss") > math.log(1 - recall)).select("rep", F.col("miss").alias("before")))
-        if missed.isEmpty():
-            return out if r == 0 else out.distinct()
-        active = missed.select("rep")
-    return out.unionByName(_exact(sets, active, exact)).distinct()
+        if miss is None:
+            break
+        if before is not None:  # the chances of the rounds multiply
+            miss = before.join(miss, "rep").select("rep", (F.col("before") + F.col("miss")).alias("miss"))
+        before = cut(miss.where(F.col("miss") > math.log(1 - recall)).select("rep", F.col("miss").alias("before")))
+        if before.isEmpty():
+            break
+        active = before.select("rep")
+    else:
+        out = out.unionByName(_exact(sets, active, exact))
+    return out.distinct() if r else out
 
 
 def _expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
