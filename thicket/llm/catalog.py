@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from thicket.llm import clusters, frequency, mixing, overlap, tokens
+from thicket.llm import clusters, frequency, mixing, overlap, quality, tokens
 from thicket.sources.tables import table
 
 QUERIES = {
@@ -18,5 +18,8 @@ QUERIES = {
     "p7_found": lambda s, d: mixing.short_sources(table(s, d, "documents"), table(s, d, "mix_target")),
     "p7_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_target")),
     "p7_shares": lambda s, d: mixing.shares(table(s, d, "documents"), table(s, d, "mix_target")),
+    "p8_found": lambda s, d: quality.not_prose(table(s, d, "documents"), table(s, d, "common_word")),
+    "p8_statistics": lambda s, d: quality.statistics(table(s, d, "documents"), table(s, d, "common_word")),
+    "p8_quality": lambda s, d: quality.quality(table(s, d, "documents"), table(s, d, "common_word")),
 }
-SQL = {"p1_found": overlap.PAIRS_SQL, "p5_found": frequency.FOUND_SQL, "p5_frequency": frequency.FREQUENCY_SQL}
+SQL = {"p8_statistics": quality.STATISTICS_SQL, "p1_found": overlap.PAIRS_SQL, "p5_found": frequency.FOUND_SQL, "p5_frequency": frequency.FREQUENCY_SQL}
