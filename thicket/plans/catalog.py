@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.operators import references, snapshots
+from thicket.operators import drafts, references, similarity, snapshots
 from thicket.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +28,7 @@ SQL: dict[str, str] = {
     "p4_found": snapshots.CHANGES_SQL,
     "p4_counts": snapshots.COUNTS_SQL,
 }
+
+for _module in (similarity, drafts):
+    QUERIES |= _module.queries()
+    SQL |= _module.SQL
