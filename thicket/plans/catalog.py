@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.operators import drafts, references, similarity, snapshots
+from thicket.operators import drafts, provenance, references, similarity, snapshots, validate
 from thicket.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,6 @@ SQL: dict[str, str] = {
     "p4_counts": snapshots.COUNTS_SQL,
 }
 
-for _module in (similarity, drafts):
+for _module in (similarity, drafts, validate, provenance):
     QUERIES |= _module.queries()
     SQL |= _module.SQL
