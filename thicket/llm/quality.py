@@ -31,22 +31,23 @@ EXTRA = "het een van ik niet zijn dat aan met voor wij hij zij ze je uit bij naa
 #: Most words of the table of common words; it is a small fixed table.
 MOST_COMMON = 20_000
 
+#: How structured lines begin, or are as a whole; quantifiers are possessive, so a line is read once for each.
 _STRUCTURE = "|".join((
     r"#{1,6}[ \t]",
-    r"(?:[-*+•‣◦–—]|--|\d{1,4}[.)]|[a-zA-Z][.)]|\([a-z0-9]{1,3}\)|\[[ xX]\])[ \t]+",
-    r"\||\+[-=+]{3,}|<[/!a-zA-Z]",
-    r"[-=~_.*#+<>|: ]{3,}$",
+    r"(?:[-*+•‣◦–—]|--|\d{1,4}[.)]|[a-zA-Z][.)]|\([a-z0-9]{1,3}\)|\[[ xX]\])[ \t]",
+    r"\||\+[-=+]{3}|<[/!a-zA-Z]",
+    r"[-=~_.*#+<>|: ]{3,}+$|[^\p{L}\n]++$",
     r"\d{4}-\d\d-\d\d[T ]|\[?\d\d:\d\d:\d\d",
-    r"!?\[[^\]\n]*\]\([^)\n]*\)[ \t]*$|https?://\S+[ \t]*$",
-    r"[^\s>][^\n>]*(?: [>›»] [^\n>]+)+$",
-    r"[\w.\[\]-]+[ \t]*(?:=|->|=>|:=|\+=)(?:[ \t]|\S)",
-    r"\w*_\w*[ \t]*:(?:[ \t]|$)|[a-z][\w.-]*:\t|[a-z][\w-]*:(?:[ \t]+\S+){0,2}[ \t]*$",
-    r"[^\n]*\S(?: {3,}|[ ]*\t[ \t]*)\S",
-    r"[^\n]*\.{4,}[ \t]*\d+[ \t]*$",
-    r"[^\n;]*(?:;[^\s;][^\n;]*){2,}$|[^\n,]*(?:,[^\s,][^\n,]*){2,}$",
-    r"(?:def|class|for|while|if|return|const|let|var|export|import|function|public|private)\b[^\n]*[:;{}(=)]$|[})\]];?(?:[ \t]*//|$)|(?:return|export|import)[ \t]\S+$|[a-z]+ctl[ \t]|[$>%][ \t]",
-    r"(?:[a-z]+ )*[a-z]+/[a-z]+[ \t]+--|(?:if|for|while|elif)[ \t][^\n]{1,60}:[ \t]*(?:return\b|\w+\[|\w+\()",
-    r"[^\p{L}\n]+$|\S{24,}[ \t]*$|[^\n|]*\|[^\n|]*\||(?:[^\n/]* / ){3}|(?:\w+, ){6}",
+    r"!?\[[^\]\n]*+\]\([^)\n]*+\)[ \t]*$|https?://\S++[ \t]*$|\S{24,}+[ \t]*$",
+    r"[^\n>›»]++(?:(?<= )[>›»] [^\n>›»]++)++$",
+    r"[\w.\[\]-]++[ \t]*+(?:=|->|:=|\+=)",
+    r"\w*_\w*+[ \t]*:(?:[ \t]|$)|[a-z][\w.-]*+:(?:\t|(?:[ \t]++\S++){0,2}+[ \t]*$)",
+    r"(?:\S++ {1,2}+(?=\S))*+\S++(?: {3}| *\t)[ \t]*+\S",
+    r"(?:[^\n.]++|\.(?!\.{3}))*+\.{4,}+[ \t]*+\d++[ \t]*$",
+    r"[^\n;]*+(?:;[^\s;][^\n;]*+){2,}+$|[^\n,]*+(?:,[^\s,][^\n,]*+){2,}+$",
+    r"(?:def|class|for|while|if|return|const|let|var|export|import|function|public|private)\b[^\n]*[:;{}(=)]$|[})\]];?(?:[ \t]*//|$)|(?:return|export|import)[ \t]\S+$|[a-z]++ctl[ \t]|[$%][ \t]",
+    r"(?:[a-z]++ )*+[a-z]++/[a-z]++[ \t]+--|(?:if|for|while|elif)[ \t][^\n]{1,60}:[ \t]*(?:return\b|\w+\[|\w+\()",
+    r"[^\n|]*+\|[^\n|]*+\||(?:[^\n/]++(?<= )/ ){3}|(?:\w++, ){6}",
 ))
 
 
@@ -84,36 +85,57 @@ def _sub(c: Column, pattern: str, by: str) -> Column:
 
 def _count(c: Column, marks: str) -> Column:
     """How many of ``marks`` a string of marks has."""
-    return F.length(c) - F.length(F.translate(c, marks, ""))
+    return F.length(c) - F.length(_without(c, *marks))
+
+
+def _without(c: Column, *parts: str) -> Column:
+    for x in parts:
+        c = F.replace(c, F.lit(x), F.lit(""))
+    return c
+
+
+def _solid(c: Column) -> Column:
+    """Characters other than white space of a cleaned text."""
+    return F.length(_without(c, " ", "\n", "\t"))
 
 
 def clean(text: Column) -> Column:
     """Line ends as line feeds, blanks of any kind as blanks, without marks of no width."""
-    return _sub(_sub(_sub(text, "\r\n?|[\u0085\u2028\u2029]", "\n"), "[\u00a0\u2000-\u200a\u202f\u3000]", " "), "[\ufeff\u200b-\u200d\u00ad]", "")
+    odd = "[\r\u000b\u000c\u0085\u2028\u2029\u00a0\u2000-\u200d\u202f\u3000\ufeff\u00ad]"
+    c = _sub(_sub(_sub(text, "\r\n?|[\u0085\u2028\u2029]", "\n"), "[\u000b\u000c\u00a0\u2000-\u200a\u202f\u3000]", " "), "[\ufeff\u200b-\u200d\u00ad]", "")
+    return F.when(text.rlike(odd), c).otherwise(text)
+
+
+def _if(c: Column, has: str, then: Column) -> Column:
+    """``then`` where ``c`` holds a string that it is about; most texts don't."""
+    return F.when(F.contains(c, F.lit(has)), then).otherwise(c)
 
 
 def unstructured(text: Column) -> Column:
-    """What is left of a cleaned text without front matter, fenced code and structured lines."""
-    c = _sub(text, r"\A\s*---[ \t]*\n(?:[ \t]*(?:[\w-]+:|- )[^\n]*\n)*---[ \t]*(?:\n|\z)", "")
-    c = _sub(c, r"(?m)^[ \t]*(```|~~~(?!~))[^\n]*\n(?:[^\n]*\n)*?(?:[ \t]*\1[ \t]*$|\z)", "\n")
-    c = _sub(c, r"(?m)^[ \t]*(?:>[ \t]?)+", "")
-    c = _sub(c, rf"(?m)^[ \t]*(?:{_STRUCTURE})[^\n]*$", "\n")
-    c = _sub(c, r"(?m)^[ \t]*[A-Z]:[ \t]+", "")
-    return _sub(c, r"(?m)^([^\n]{100,})$", "\n$1\n")  # lines too long for wrapped text are paragraphs of their own
+    """What is left of a cleaned text without front matter, fenced code and structured lines.
+
+    Paragraphs are parted by the character U+0004: blank lines, and ends of lines too long for wrapped text.
+    """
+    c = F.when(text.startswith("---"), _sub(text, r"\A\s*---[ \t]*\n(?:[ \t]*(?:[\w-]+:|- )[^\n]*\n)*---[ \t]*(?:\n|\z)", "")).otherwise(text)
+    for fence in ("```", "~~~"):
+        c = _if(c, fence, _sub(c, rf"(?m)^[ \t]*{fence}(?!~)[^\n]*\n(?:[^\n]*\n)*?(?:[ \t]*{fence}[ \t]*$|\z)", "\n"))
+    c = _sub(c, r"(?m)^[ \t]*(?:(?:>[ \t]?)+|[A-Z]:[ \t]+)", "")
+    c = _sub(c, rf"(?m)^[ \t]*+(?:{_STRUCTURE})[^\n]*$", "\n")
+    c = _sub(c, r"(?m)^([^\n]{100,}+)$", "\n$1\n")
+    return _sub(c, r"(?:\A|\n)[ \t]*(?:\n[ \t]*)+|\n[ \t]*\z", "\u0004")
 
 
 def marks(text: Column, words: list[str]) -> Column:
-    """The string of marks of a text; paragraphs are parted by line feeds."""
+    """The string of marks of a text whose paragraphs are parted by U+0004."""
     c = _sub(F.lower(text), rf"(?<![\p{{L}}\p{{M}}])(?:{trie(words)})(?![\p{{L}}\p{{M}}])", "\u0001")
-    c = _sub(c, r"[\p{L}\p{M}]+", "w")
-    c = _sub(c, "(?<=[w\u0001)”\"»`’>…])[.?!。]+(?=\\s|$|[\"”»])|[。！？]", "\u0002")
-    c = _sub(c, "[,;:、，](?=[ \t]*[^\\s])(?=[ \t])", "\u0003")
-    c = _sub(c, "[,;:、，](?=[ \t]*(?:\n|$))", "")
+    c = _sub(c, r"[\p{L}\p{M}]++", "w")
+    c = _sub(c, "(?<=[w\u0001)”\"»`’>…])[.?!。]+(?=[\\s\u0004]|$|[\"”»])|[。！？]", "\u0002")
+    c = _sub(c, "[,;:、，](?=[ \t]+[^\\s\u0004])", "\u0003")
     c = _sub(c, r"\p{N}+(?:[.,:/]\p{N}+)*\.?", "n")
-    c = _sub(c, "[^\\swn\u0001\u0002\u0003]+", "x")
-    c = _sub(c, r"\n[ \t]*(?:\n[ \t]*)+", "\u0004")
-    c = _sub(c, r"[^\S\n]+", "")
-    return F.translate(c, "\n\u0001\u0002\u0003\u0004", "lfpc\n")
+    c = _sub(c, "[^\\swn\u0001\u0002\u0003\u0004,;:]+", "x")
+    for a, b in (("\n", "l"), ("\u0001", "f"), ("\u0002", "p"), ("\u0003", "c"), (" ", ""), ("\t", ""), (",", ""), (";", ""), (":", "")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
 
 
 FEATURES = ("common", "three", "sentence", "signs", "stops", "commas", "begin", "line", "upper", "closed", "even", "size")
@@ -122,38 +144,53 @@ FEATURES = ("common", "three", "sentence", "signs", "stops", "commas", "begin",
 def _features(p: Column, m: Column) -> Column:
     """The features of a paragraph and its characters, from its text and its marks."""
     words, lines = _count(m, "fw"), _count(m, "l") + 1
-    flat = F.translate(m, "lcnx", "")
+    flat = _without(m, *"lcnx")
     stop = _count(m, "p")
     per = lambda a, b: a / F.greatest(b, F.lit(1))
-    rows = F.split(F.trim(p), "\n")
-    longest = F.array_max(F.transform(rows, F.length))
-    full = F.length(p) / (lines * F.greatest(longest, F.lit(1)))
+    # most paragraphs are one line, which needs no search through the text
+    one = lines == 1
+    capital, ending = r"[ \t]*\p{Lu}", _without(F.substring(p, -3, 3), " ", "\t")
+    upper = F.when(one, p.rlike(rf"\A{capital}").cast("int")).otherwise(F.regexp_count(p, F.lit(rf"(?m)^{capital}")))
+    closed = F.when(one, F.substring(ending, -1, 1).isin(".", "?", "!", ":", ";").cast("int")).otherwise(F.regexp_count(p, F.lit(r"(?m)[.?!:;][ \t]*$")))
+    longest = F.array_max(F.transform(F.split(p, "\n"), F.length))
+    full = F.when(one, 1.0).otherwise(F.length(p) / (lines * F.greatest(longest, F.lit(1))))
+    begun = F.when(stop == 0, p.rlike(rf"\A{capital}").cast("int")).otherwise(F.regexp_count(p, F.lit("(?:^|[.?!…][”\"»)]?\\s)\\s*[“\"«(]?\\p{Lu}")))
     return F.struct(
-        F.length(_sub(p, r"\s+", "")).alias("chars"),
+        _solid(p).alias("chars"),
         per(_count(m, "f"), words).alias("common"),
         per(F.regexp_count(flat, F.lit("f(?=ff)")), words).alias("three"),
         per(words, stop).alias("sentence"),
         per(_count(m, "nx"), _count(m, "nx") + words).alias("signs"),
         per(stop + _count(m, "c"), words).alias("stops"),
         per(_count(m, "c"), words).alias("commas"),
-        per(F.regexp_count(p, F.lit("(?:^|[.?!…][”\"»)]?\\s)\\s*[“\"«(]?\\p{Lu}")), F.greatest(stop, F.lit(1))).alias("begin"),
+        per(begun, stop).alias("begin"),
         per(words, lines).alias("line"),
-        per(F.regexp_count(p, F.lit(r"(?m)^[ \t]*\p{Lu}")), lines).alias("upper"),
-        per(F.regexp_count(p, F.lit(r"(?m)[.?!:;][ \t]*$")), lines).alias("closed"),
+        per(upper, lines).alias("upper"),
+        per(closed, lines).alias("closed"),
         full.alias("even"),
         words.cast("double").alias("size"),
     )
 
 
-def paragraphs(df: DataFrame, words: list[str], text: str = "text") -> DataFrame:
-    """``df`` with ``total`` (characters other than white space) and ``parts``, the features of its paragraphs."""
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _parts(text: Column, words: list[str], use) -> Column:
+    """``use(total, parts)``: characters other than white space, and the features of the paragraphs."""
     every = sorted({*words, *EXTRA})
-    keep = [c for c in df.columns if c not in ("_clean", "_rest", "_marks")]
-    d = df.withColumn("_clean", clean(F.col(text)))
-    d = d.select(*keep, F.length(_sub(F.col("_clean"), r"\s+", "")).alias("total"), _sub(unstructured(F.col("_clean")), r"\A\s+|\s+\z", "").alias("_rest"))
-    d = d.withColumn("_marks", marks(F.col("_rest"), every))
-    zipped = F.arrays_zip(F.split("_rest", r"\n[ \t]*(?:\n[ \t]*)+").alias("p"), F.split("_marks", "\n").alias("m"))
-    return d.select(*keep, "total", F.transform(F.filter(zipped, lambda x: x["p"] != ""), lambda x: _features(x["p"], F.coalesce(x["m"], F.lit("")))).alias("parts"))
+
+    def zipped(r: Column, m: Column) -> Column:
+        both = F.arrays_zip(F.split(r, "\u0004").alias("p"), F.split(m, "\u0004").alias("m"))
+        return F.transform(F.filter(both, lambda x: F.trim(x["p"]) != ""), lambda x: _features(x["p"], F.coalesce(x["m"], F.lit(""))))
+
+    return _let(clean(text), lambda c: _let(unstructured(c), lambda r: _let(marks(r, every), lambda m: use(_solid(c), zipped(r, m)))))
+
+
+def paragraphs(df: DataFrame, words: list[str], text: str = "text") -> DataFrame:
+    """``df`` with ``x``: total and parts, the features of the paragraphs of its text."""
+    return df.withColumn("x", _parts(F.col(text), words, lambda total, parts: F.struct(total.alias("total"), parts.alias("parts"))))
 
 
 # ---------------------------------------------------------------- rules
@@ -162,7 +199,7 @@ def paragraphs(df: DataFrame, words: list[str], text: str = "text") -> DataFrame
 def training_table(spark, words: list[str], n: int = LABELLED, seed: int = 3):
     """The features of labelled documents, one row a paragraph, as a pandas table with ``label``."""
     docs = spark.createDataFrame(labelled(n, seed), "id int, text string, label boolean").repartition(8)
-    parts = paragraphs(docs, words).select("id", "label", F.explode("parts").alias("p")).select("id", "label", "p.*")
+    parts = paragraphs(docs, words).select("id", "label", F.explode("x.parts").alias("p")).select("id", "label", "p.*")
     return parts.orderBy("id").toPandas()
 
 
@@ -179,47 +216,51 @@ PROSE_CASE = """CASE
     WHEN commas <= 0.0021 AND signs <= 0.002 AND size > 34.5 AND size > 69.5 AND three > 0.2554 AND sentence > 104.5 THEN false
     WHEN commas <= 0.0149 AND signs <= 0.002 AND sentence <= 8.9375 AND size > 6.5 THEN false
     WHEN stops <= 0.036 AND signs <= 0.002 AND closed > 0.0227 THEN false
-    WHEN closed <= 0.0426 AND common <= 0.0265 AND begin > 0.0357 AND even > 0.9841 THEN false
-    WHEN stops <= 0.0496 AND signs <= 0.0021 AND line > 20.5 AND common <= 0.0632 AND common <= 0.0217 THEN false
-    WHEN stops <= 0.0605 AND signs <= 0.002 AND sentence > 66.5 AND stops <= 0.0021 AND line > 79.5 AND common <= 0.5071 THEN false
+    WHEN closed <= 0.0426 AND common <= 0.0265 AND line > 18.5 AND signs <= 0.0168 AND line > 36.5 THEN false
+    WHEN closed <= 0.0217 AND common <= 0.0079 AND signs > 0.1231 AND sentence > 20.5 THEN false
+    WHEN stops <= 0.0485 AND signs <= 0.002 AND sentence > 70.5 AND stops <= 0.0021 AND line > 79.5 AND common <= 0.5071 THEN false
     WHEN stops <= 0.0519 AND signs <= 0.002 AND upper > 0.025 AND sentence > 13.5 THEN false
-    WHEN begin <= 0.5647 AND signs <= 0.002 AND line > 19.625 AND common > 0.6834 AND sentence > 54.5 AND common > 0.7558 THEN false
-    WHEN begin <= 0.775 AND signs <= 0.002 AND line > 19.625 AND common <= 0.052 AND common <= 0.022 THEN false
-    WHEN begin <= 0.5778 AND signs <= 0.0021 AND line > 20.5 AND sentence > 69.5 AND stops <= 0.0021 AND sentence > 109.0 THEN false
-    WHEN begin <= 0.5778 AND signs <= 0.0021 AND common > 0.6464 AND line <= 15.1667 AND commas <= 0.0364 AND line > 9.15 THEN false
-    WHEN begin <= 0.7889 AND signs <= 0.002 AND closed > 0.0208 AND size > 32.5 THEN false
-    WHEN commas <= 0.0115 AND line <= 7.2625 AND sentence <= 8.2857 AND signs > 0.0038 THEN false
-    WHEN begin <= 0.7083 AND signs <= 0.002 AND line > 19.5 AND common > 0.665 AND common > 0.7372 AND line > 20.5 AND three > 0.4808 THEN false
-    WHEN stops <= 0.0485 AND signs <= 0.002 AND line <= 7.4643 AND common > 0.5192 THEN false
-    WHEN begin <= 0.775 AND signs <= 0.002 AND line > 19.5 AND common <= 0.0632 AND common <= 0.0267 THEN false
-    WHEN begin <= 0.775 AND signs <= 0.002 AND line > 20.5 AND sentence > 67.5 AND stops <= 0.0021 AND three > 0.2187 THEN false
-    WHEN begin <= 0.55 AND signs <= 0.002 AND common <= 0.0513 AND line > 9.5417 AND sentence <= 17.5 THEN false
-    WHEN begin <= 0.7386 AND signs <= 0.002 AND line > 21.0 AND common <= 0.0632 THEN false
-    WHEN begin <= 0.55 AND signs <= 0.002 AND line > 18.625 AND sentence > 52.5 AND common <= 0.5642 AND common > 0.4356 AND sentence > 69.0 THEN false
-    WHEN begin <= 0.775 AND signs <= 0.002 AND three > 0.1755 AND commas <= 0.0075 AND line <= 14.875 AND sentence > 15.0 THEN false
-    WHEN begin <= 0.775 AND signs <= 0.0021 AND closed > 0.1 AND closed > 0.75 AND size > 14.5 THEN false
-    WHEN begin <= 0.7386 AND signs > 0.2917 THEN false
-    WHEN begin <= 0.7386 AND signs <= 0.002 AND common > 0.577 AND line <= 14.5833 AND commas <= 0.0155 AND line <= 11.0714 AND line > 8.25 THEN false
-    WHEN line <= 6.8819 AND commas <= 0.0494 AND common > 0.5773 AND even <= 0.848 THEN false
-    WHEN begin <= 0.775 AND signs <= 0.002 AND three > 0.196 AND stops <= 0.0021 AND three <= 0.2135 AND line <= 92.5 AND sentence > 17.0 THEN false
-    WHEN signs <= 0.002 AND closed <= 0.0278 AND upper > 0.0625 AND line <= 11.5 THEN false
-    WHEN begin <= 0.7386 AND signs <= 0.002 AND line > 19.625 AND common > 0.6659 AND three <= 0.4255 AND three > 0.3733 THEN false
+    WHEN commas <= 0.0089 AND signs <= 0.002 AND sentence > 19.5 AND three > 0.1839 AND common > 0.752 AND sentence > 51.5 THEN false
+    WHEN begin <= 0.7889 AND signs <= 0.002 AND line > 19.625 AND common <= 0.052 AND sentence <= 26.5 THEN false
+    WHEN begin <= 0.5778 AND signs <= 0.0021 AND line > 20.5 AND sentence > 69.5 AND sentence > 109.0 THEN false
+    WHEN commas <= 0.0119 AND line <= 7.2625 AND sentence <= 8.2857 THEN false
+    WHEN begin <= 0.7889 AND signs <= 0.002 AND closed > 0.0208 AND begin <= 0.4167 AND size > 13.0 THEN false
+    WHEN stops <= 0.0351 AND signs <= 0.002 AND three > 0.1705 AND stops <= 0.0092 AND line <= 14.7857 THEN false
+    WHEN stops <= 0.0391 AND signs <= 0.0021 AND line > 20.5 AND common <= 0.0632 AND common <= 0.0135 THEN false
+    WHEN begin <= 0.6111 AND signs <= 0.002 AND line > 20.5 AND three > 0.1695 AND common > 0.7687 THEN false
+    WHEN closed <= 0.0192 AND signs <= 0.002 AND common <= 0.0513 AND line > 9.5417 AND sentence <= 17.5 THEN false
+    WHEN begin <= 0.7889 AND signs <= 0.002 AND line > 31.5 AND sentence > 67.5 AND stops <= 0.006 AND three > 0.2187 THEN false
+    WHEN stops <= 0.0391 AND signs > 0.3167 THEN false
+    WHEN closed <= 0.0185 AND signs <= 0.002 AND line > 21.5 AND common <= 0.0632 THEN false
+    WHEN closed <= 0.0192 AND signs <= 0.0021 AND line <= 7.1623 AND upper > 0.0625 THEN false
+    WHEN begin <= 0.7889 AND signs <= 0.002 AND size > 49.5 AND line <= 14.2083 AND stops <= 0.016 AND three > 0.1288 THEN false
+    WHEN begin <= 0.775 AND signs <= 0.002 AND line > 32.5 AND common > 0.4408 AND common <= 0.5263 AND three <= 0.0217 THEN false
+    WHEN begin <= 0.775 AND signs <= 0.002 AND common > 0.5684 AND commas <= 0.0054 AND line <= 11.0714 THEN false
     ELSE true END"""
 
 
+def _judged(text: Column, words: list[str], case: str, use) -> Column:
+    """``use(total, prose_chars)`` of a text, in one expression that reads the text once."""
+    rules = ir.from_case(case)
+
+    def prose(parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(0), lambda n, x: n + F.when(ir.to_column(rules, lambda f: x[f]), 0).otherwise(x["chars"]))
+
+    return _parts(text, words, lambda total, parts: use(total, prose(parts)))
+
+
 def judge(df: DataFrame, words: list[str], case: str = PROSE_CASE, text: str = "text") -> DataFrame:
     """``df`` without its text, with total, prose_chars and prose_share of each document."""
-    within = re.sub(rf"\b({'|'.join(FEATURES)})\b", r"_x.\1", case)
-    chars = F.expr(f"aggregate(parts, 0L, (acc, _x) -> acc + CASE WHEN {within} THEN _x.chars ELSE 0 END)")
-    d = paragraphs(df, words, text)
-    d = d.select(*[c for c in df.columns if c != text], "total", F.coalesce(chars, F.lit(0)).alias("prose_chars"))
-    return d.withColumn("prose_share", F.when(F.col("total") > 0, F.col("prose_chars") / F.col("total")))
+    both = _judged(F.col(text), words, case, lambda total, prose: F.struct(total.alias("total"), prose.alias("prose_chars")))
+    d = df.select(*[c for c in df.columns if c != text], both.alias("_j"))
+    total, prose = F.coalesce("_j.total", F.lit(0)), F.coalesce("_j.prose_chars", F.lit(0))
+    return d.select(*[c for c in df.columns if c != text], total.alias("total"), prose.alias("prose_chars"), F.when(total > 0, prose / total).alias("prose_share"))
 
 
 def not_prose(documents: DataFrame, common_word: DataFrame) -> DataFrame:
     """doc_id of each document whose text isn't mainly natural prose."""
-    d = judge(fan_out(documents.select("doc_id", "text")), common_words(common_word))
-    return d.where("total > 0 AND 2 * prose_chars < total").select("doc_id")
+    case = _judged(F.col("text"), common_words(common_word), PROSE_CASE, lambda total, prose: (total > 0) & (2 * prose < total))
+    return fan_out(documents.select("doc_id", "text")).where(case).select("doc_id")
 
 
 # ---------------------------------------------------------------- statistics

@@ -8,9 +8,11 @@ is grown. Rows that no rule covers belong to the other class.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import Column, functions as F
 
 
 @dataclass(frozen=True)
@@ -116,3 +118,20 @@ def to_case(rules: list[Rule], then: str = "true", other: str = "false") -> str:
     """SQL for the class of a row: the rules in order, then the other class."""
     whens = " ".join(f"WHEN {' AND '.join(c.sql() for c in r)} THEN {then}" for r in rules)
     return f"CASE {whens} ELSE {other} END" if rules else other
+
+
+def from_case(case: str) -> list[Rule]:
+    """The rules of a CASE expression that ``to_case`` made."""
+    term = re.compile(r"(\w+) (<=|>) (\S+)")
+    return [tuple(Condition(f, op == ">", float(x)) for f, op, x in term.findall(when)) for when in re.findall(r"WHEN (.*?) THEN", case, re.S)]
+
+
+def to_column(rules: list[Rule], of) -> Column:
+    """Whether a rule holds, as a native expression over the features that ``of`` gives by name."""
+    any_ = F.lit(False)
+    for r in rules:
+        all_ = F.lit(True)
+        for c in r:
+            all_ = all_ & (of(c.feature) > c.value if c.over else of(c.feature) <= c.value)
+        any_ = any_ | all_
+    return any_
