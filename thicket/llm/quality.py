@@ -8,7 +8,7 @@ taken away before. A document is prose if at least half of its characters other
 stand in paragraphs of running text.
 
 For its features a paragraph becomes a short string of one mark per token: f a common word, w
-another word, n a number, x other signs, p an end of sentence, c a comma or colon, l a line end.
+another word, n a number, x other signs, p an end of sentence, c a comma or colon within a line; line feeds stay.
 
 Defined results. A null, empty or blank text has zero words, null shares and is neither prose nor
 a case. Line ends of any system count alike. Every document comes out once.
@@ -17,6 +17,7 @@ a case. Line ends of any system count alike. Every document comes out once.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -68,7 +69,9 @@ def trie(words) -> str:
         body = parts[0] if len(parts) == 1 and not end else "(?:" + "|".join(parts) + ")"
         return body + "?" if end else body
 
-    return build(tree)
+    first = sorted(k for k in tree if k)
+    groups = [first[i : i + 5] for i in range(0, len(first), 5)]
+    return "|".join(f"(?=[{''.join(map(re.escape, g))}])(?:{build({k: tree[k] for k in g})})" for g in groups)
 
 
 def common_words(common_word: DataFrame) -> list[str]:
@@ -96,14 +99,17 @@ def _without(c: Column, *parts: str) -> Column:
 
 def _solid(c: Column) -> Column:
     """Characters other than white space of a cleaned text."""
-    return F.length(_without(c, " ", "\n", "\t"))
+    c = _without(c, " ", "\n")
+    return F.length(_if(c, "\t", _without(c, "\t")))
 
 
 def clean(text: Column) -> Column:
     """Line ends as line feeds, blanks of any kind as blanks, without marks of no width."""
-    odd = "[\r\u000b\u000c\u0085\u2028\u2029\u00a0\u2000-\u200d\u202f\u3000\ufeff\u00ad]"
+    # by bytes: \r, \v, \f, and the beginnings of the other characters in UTF-8
+    b = text.cast("binary")
+    odd = [F.contains(b, F.lit(x)) for x in (b"\r", b"\x0b", b"\x0c", b"\xc2\x85", b"\xc2\xa0", b"\xc2\xad", b"\xe2\x80\xa8", b"\xe2\x80\xa9", b"\xe2\x80\xaf", b"\xe3\x80\x80", b"\xef\xbb\xbf", *(bytes((0xE2, 0x80, n)) for n in range(0x80, 0x8E)))]
     c = _sub(_sub(_sub(text, "\r\n?|[\u0085\u2028\u2029]", "\n"), "[\u000b\u000c\u00a0\u2000-\u200a\u202f\u3000]", " "), "[\ufeff\u200b-\u200d\u00ad]", "")
-    return F.when(text.rlike(odd), c).otherwise(text)
+    return F.when(reduce(lambda x, y: x | y, odd), c).otherwise(text)
 
 
 def _if(c: Column, has: str, then: Column) -> Column:
@@ -114,26 +120,26 @@ def _if(c: Column, has: str, then: Column) -> Column:
 def unstructured(text: Column) -> Column:
     """What is left of a cleaned text without front matter, fenced code and structured lines.
 
-    Paragraphs are parted by the character U+0004: blank lines, and ends of lines too long for wrapped text.
+    Paragraphs are parted by blank lines; lines too long for wrapped text are paragraphs of their own.
     """
     c = F.when(text.startswith("---"), _sub(text, r"\A\s*---[ \t]*\n(?:[ \t]*(?:[\w-]+:|- )[^\n]*\n)*---[ \t]*(?:\n|\z)", "")).otherwise(text)
     for fence in ("```", "~~~"):
         c = _if(c, fence, _sub(c, rf"(?m)^[ \t]*{fence}(?!~)[^\n]*\n(?:[^\n]*\n)*?(?:[ \t]*{fence}[ \t]*$|\z)", "\n"))
-    c = _sub(c, r"(?m)^[ \t]*(?:(?:>[ \t]?)+|[A-Z]:[ \t]+)", "")
+    c = _if(c, ">", _sub(c, r"(?m)^[ \t]*(?:>[ \t]?)+", ""))
     c = _sub(c, rf"(?m)^[ \t]*+(?:{_STRUCTURE})[^\n]*$", "\n")
-    c = _sub(c, r"(?m)^([^\n]{100,}+)$", "\n$1\n")
-    return _sub(c, r"(?:\A|\n)[ \t]*(?:\n[ \t]*)+|\n[ \t]*\z", "\u0004")
+    return _sub(c, r"(?m)^([^\n]{100,}+)$", "\n$1\n")
 
 
 def marks(text: Column, words: list[str]) -> Column:
-    """The string of marks of a text whose paragraphs are parted by U+0004."""
-    c = _sub(F.lower(text), rf"(?<![\p{{L}}\p{{M}}])(?:{trie(words)})(?![\p{{L}}\p{{M}}])", "\u0001")
+    """The string of marks of a text; line feeds stay."""
+    before = "[\u0000-@\\[-`{-\u00bf\u2000-\u206f\u3000-\u303f]|^"
+    c = _sub(F.lower(text), rf"({before})(?:{trie(words)})(?![\p{{L}}\p{{M}}])", "$1\u0001")
     c = _sub(c, r"[\p{L}\p{M}]++", "w")
-    c = _sub(c, "(?<=[w\u0001)”\"»`’>…])[.?!。]+(?=[\\s\u0004]|$|[\"”»])|[。！？]", "\u0002")
-    c = _sub(c, "[,;:、，](?=[ \t]+[^\\s\u0004])", "\u0003")
+    c = _sub(c, "(?<=[w\u0001)”\"»`’>…])[.?!。]+(?=\\s|$|[\"”»])|[。！？]", "\u0002")
+    c = _sub(c, "[,;:、，](?=[ \t]+[^\\s])", "\u0003")
     c = _sub(c, r"\p{N}+(?:[.,:/]\p{N}+)*\.?", "n")
-    c = _sub(c, "[^\\swn\u0001\u0002\u0003\u0004,;:]+", "x")
-    for a, b in (("\n", "l"), ("\u0001", "f"), ("\u0002", "p"), ("\u0003", "c"), (" ", ""), ("\t", ""), (",", ""), (";", ""), (":", "")):
+    c = _sub(c, "[^\\swn\u0001\u0002\u0003,;:]+", "x")
+    for a, b in (("\u0001", "f"), ("\u0002", "p"), ("\u0003", "c"), (" ", ""), ("\t", ""), (",", ""), (";", ""), (":", "")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
@@ -141,49 +147,46 @@ def marks(text: Column, words: list[str]) -> Column:
 FEATURES = ("common", "three", "sentence", "signs", "stops", "commas", "begin", "line", "upper", "closed", "even", "size")
 
 
-def _features(p: Column, m: Column) -> Column:
-    """The features of a paragraph and its characters, from its text and its marks."""
-    words, lines = _count(m, "fw"), _count(m, "l") + 1
-    flat = _without(m, *"lcnx")
-    stop = _count(m, "p")
-    per = lambda a, b: a / F.greatest(b, F.lit(1))
-    # most paragraphs are one line, which needs no search through the text
-    one = lines == 1
-    capital, ending = r"[ \t]*\p{Lu}", _without(F.substring(p, -3, 3), " ", "\t")
-    upper = F.when(one, p.rlike(rf"\A{capital}").cast("int")).otherwise(F.regexp_count(p, F.lit(rf"(?m)^{capital}")))
-    closed = F.when(one, F.substring(ending, -1, 1).isin(".", "?", "!", ":", ";").cast("int")).otherwise(F.regexp_count(p, F.lit(r"(?m)[.?!:;][ \t]*$")))
-    longest = F.array_max(F.transform(F.split(p, "\n"), F.length))
-    full = F.when(one, 1.0).otherwise(F.length(p) / (lines * F.greatest(longest, F.lit(1))))
-    begun = F.when(stop == 0, p.rlike(rf"\A{capital}").cast("int")).otherwise(F.regexp_count(p, F.lit("(?:^|[.?!…][”\"»)]?\\s)\\s*[“\"«(]?\\p{Lu}")))
-    return F.struct(
-        _solid(p).alias("chars"),
-        per(_count(m, "f"), words).alias("common"),
-        per(F.regexp_count(flat, F.lit("f(?=ff)")), words).alias("three"),
-        per(words, stop).alias("sentence"),
-        per(_count(m, "nx"), _count(m, "nx") + words).alias("signs"),
-        per(stop + _count(m, "c"), words).alias("stops"),
-        per(_count(m, "c"), words).alias("commas"),
-        per(begun, stop).alias("begin"),
-        per(words, lines).alias("line"),
-        per(upper, lines).alias("upper"),
-        per(closed, lines).alias("closed"),
-        full.alias("even"),
-        words.cast("double").alias("size"),
-    )
-
-
 def _let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` worked out once, however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _features(p: Column, m: Column) -> Column:
+    """The features of a paragraph and its characters, from its text and its marks."""
+    n = F.struct(
+        _count(m, "f").cast("double").alias("f"), _count(m, "w").cast("double").alias("w"), (_count(m, "\n") + 1).cast("double").alias("lines"),
+        _count(m, "p").cast("double").alias("p"), _count(m, "nx").cast("double").alias("x"), _count(m, "c").cast("double").alias("c"),
+    )
+    per = lambda a, b: a / F.greatest(b, F.lit(1.0))
+    capital = r"[ \t]*\p{Lu}"
+
+    def features(k: Column) -> Column:
+        words, lines, stop = k["f"] + k["w"], k["lines"], k["p"]
+        # most paragraphs are one line, which needs no search through the text
+        one = lines == 1
+        upper = F.when(one, p.rlike(rf"\A{capital}").cast("int")).otherwise(F.regexp_count(p, F.lit(rf"(?m)^{capital}")))
+        closed = F.when(one, p.rlike(r"[.?!:;][ \t]*\z").cast("int")).otherwise(F.regexp_count(p, F.lit(r"(?m)[.?!:;][ \t]*$")))
+        longest = F.array_max(F.transform(F.split(p, "\n"), F.length))
+        full = F.when(one, 1.0).otherwise(F.length(p) / (lines * F.greatest(longest, F.lit(1))))
+        begun = p.rlike("\\A\\s*[“\"«(]?\\p{Lu}").cast("int") + F.when(stop == 0, 0).otherwise(F.regexp_count(p, F.lit("[.?!…][”\"»)]?\\s+[“\"«(]?\\p{Lu}")))
+        three = F.when(k["f"] < 3, 0).otherwise(F.regexp_count(_without(m, *"\ncnx"), F.lit("f(?=ff)")))
+        return F.struct(
+            _solid(p).alias("chars"), per(k["f"], words).alias("common"), per(three, words).alias("three"), per(words, stop).alias("sentence"),
+            per(k["x"], k["x"] + words).alias("signs"), per(stop + k["c"], words).alias("stops"), per(k["c"], words).alias("commas"), per(begun, stop).alias("begin"),
+            per(words, lines).alias("line"), per(upper, lines).alias("upper"), per(closed, lines).alias("closed"), full.alias("even"), words.alias("size"),
+        )
+
+    return _let(n, features)
+
+
 def _parts(text: Column, words: list[str], use) -> Column:
     """``use(total, parts)``: characters other than white space, and the features of the paragraphs."""
     every = sorted({*words, *EXTRA})
 
     def zipped(r: Column, m: Column) -> Column:
-        both = F.arrays_zip(F.split(r, "\u0004").alias("p"), F.split(m, "\u0004").alias("m"))
-        return F.transform(F.filter(both, lambda x: F.trim(x["p"]) != ""), lambda x: _features(x["p"], F.coalesce(x["m"], F.lit(""))))
+        both = F.arrays_zip(F.split(r, r"\n[ \t]*(?:\n[ \t]*)+").alias("p"), F.split(m, "\n\n+").alias("m"))
+        return F.transform(F.filter(both, lambda x: F.btrim(x["p"], F.lit(" \n\t")) != ""), lambda x: _features(F.btrim(x["p"], F.lit("\n")), F.btrim(F.coalesce(x["m"], F.lit("")), F.lit("\n"))))
 
     return _let(clean(text), lambda c: _let(unstructured(c), lambda r: _let(marks(r, every), lambda m: use(_solid(c), zipped(r, m)))))
 
@@ -259,7 +262,7 @@ def judge(df: DataFrame, words: list[str], case: str = PROSE_CASE, text: str = "
 
 def not_prose(documents: DataFrame, common_word: DataFrame) -> DataFrame:
     """doc_id of each document whose text isn't mainly natural prose."""
-    case = _judged(F.col("text"), common_words(common_word), PROSE_CASE, lambda total, prose: (total > 0) & (2 * prose < total))
+    case = _judged(F.col("text"), common_words(common_word), PROSE_CASE, lambda total, prose: _let(total, lambda t: (t > 0) & (2 * prose < t)))
     return fan_out(documents.select("doc_id", "text")).where(case).select("doc_id")
 
 
