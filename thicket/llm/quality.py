@@ -32,6 +32,15 @@ EXTRA = "het een van ik niet zijn dat aan met voor wij hij zij ze je uit bij naa
 #: Most words of the table of common words; it is a small fixed table.
 MOST_COMMON = 20_000
 
+#: Signs that are strewn through a structured line. A line of ordinary signs alone is read once and passes.
+_ORDINARY = r"(?:[^\n\t|/>›»;,. ]++|[;,](?=\s|$)|\.(?!\.{3})| (?! ))*+$"
+_STREWN = "|".join((
+    r"[^\n>›»]++(?:(?<= )[>›»] [^\n>›»]++)++$",
+    r"(?:\S++ {1,2}+(?=\S))*+\S++(?: {3}| *\t)[ \t]*+\S",
+    r"(?:[^\n.]++|\.(?!\.{3}))*+\.{4,}+[ \t]*+\d++[ \t]*$",
+    r"[^\n;]*+(?:;[^\s;][^\n;]*+){2,}+$|[^\n,]*+(?:,[^\s,][^\n,]*+){2,}+$",
+    r"[^\n|]*+\|[^\n|]*+\||(?:[^\n/]++(?<= )/ ){3}",
+))
 #: How structured lines begin, or are as a whole; quantifiers are possessive, so a line is read once for each.
 _STRUCTURE = "|".join((
     r"#{1,6}[ \t]",
@@ -40,15 +49,12 @@ _STRUCTURE = "|".join((
     r"[-=~_.*#+<>|: ]{3,}+$|[^\p{L}\n]++$",
     r"\d{4}-\d\d-\d\d[T ]|\[?\d\d:\d\d:\d\d",
     r"!?\[[^\]\n]*+\]\([^)\n]*+\)[ \t]*$|https?://\S++[ \t]*$|\S{24,}+[ \t]*$",
-    r"[^\n>›»]++(?:(?<= )[>›»] [^\n>›»]++)++$",
     r"[\w.\[\]-]++[ \t]*+(?:=|->|:=|\+=)",
     r"\w*_\w*+[ \t]*:(?:[ \t]|$)|[a-z][\w.-]*+:(?:\t|(?:[ \t]++\S++){0,2}+[ \t]*$)",
-    r"(?:\S++ {1,2}+(?=\S))*+\S++(?: {3}| *\t)[ \t]*+\S",
-    r"(?:[^\n.]++|\.(?!\.{3}))*+\.{4,}+[ \t]*+\d++[ \t]*$",
-    r"[^\n;]*+(?:;[^\s;][^\n;]*+){2,}+$|[^\n,]*+(?:,[^\s,][^\n,]*+){2,}+$",
     r"(?:def|class|for|while|if|return|const|let|var|export|import|function|public|private)\b[^\n]*[:;{}(=)]$|[})\]];?(?:[ \t]*//|$)|(?:return|export|import)[ \t]\S+$|[a-z]++ctl[ \t]|[$%][ \t]",
     r"(?:[a-z]++ )*+[a-z]++/[a-z]++[ \t]+--|(?:if|for|while|elif)[ \t][^\n]{1,60}:[ \t]*(?:return\b|\w+\[|\w+\()",
-    r"[^\n|]*+\|[^\n|]*+\||(?:[^\n/]++(?<= )/ ){3}|(?:\w++, ){6}",
+    r"(?:\w++, ){6}",
+    rf"(?!{_ORDINARY})(?:{_STREWN})",
 ))
 
 
