@@ -138,9 +138,9 @@ def unstructured(text: Column) -> Column:
 
 def marks(text: Column, words: list[str]) -> Column:
     """The string of marks of a text; line feeds stay."""
-    before = "[\u0000-@\\[-`{-\u00bf\u2000-\u206f\u3000-\u303f]|^"
-    c = _sub(F.lower(text), rf"({before})(?:{trie(words)})(?![\p{{L}}\p{{M}}])", "$1\u0001")
-    c = _sub(c, r"[\p{L}\p{M}]++", "w")
+    # one pass: a common word leaves its mark alone, another word its first letter before it
+    c = _sub(F.lower(text), rf"(?:{trie(words)})(?![\p{{L}}\p{{M}}])|([\p{{L}}\p{{M}}])[\p{{L}}\p{{M}}]*+", "$1\u0001")
+    c = _sub(c, "[\\p{L}\\p{M}]\u0001", "w")
     c = _sub(c, "(?<=[w\u0001)”\"»`’>…])[.?!。]+(?=\\s|$|[\"”»])|[。！？]", "\u0002")
     c = _sub(c, "[,;:、，](?=[ \t]+[^\\s])", "\u0003")
     c = _sub(c, r"\p{N}+(?:[.,:/]\p{N}+)*\.?", "n")
