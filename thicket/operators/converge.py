@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from thicket.operators import cluster, routing, tree
 from thicket.operators.similarity import affinity, bound_vectors
-from thicket.plans.scale import cut
+from thicket.plans.scale import cut, fresh
 from thicket.sources.entries import PAGES_SQL, LEAVES_SQL, leaves, pages
 from thicket.sources.tables import table
 
@@ -41,7 +41,7 @@ def nest_targets(lv: DataFrame, cl: DataFrame) -> DataFrame:
 def balance(lv: DataFrame, rounds: int = MOST_BALANCE) -> DataFrame:
     """leaf_no, dir_before, dir_after: passthroughs are flattened first, then overfull directories are parted."""
     start = lv.select("leaf_no", F.col("parent_dir").alias("dir_before"))
-    now = cut(lv)
+    now = fresh(lv)
     for _ in range(rounds):
         deep = tree.passthroughs(now).where("overdeep").select("wiki_id", F.col("path").alias("hop"))
         hit = tree.flatten(now).select("leaf_no", F.regexp_replace("new_path", r"/?[^/]*\z", "").alias("new_dir"))
@@ -53,7 +53,7 @@ def balance(lv: DataFrame, rounds: int = MOST_BALANCE) -> DataFrame:
             step = cut(nest_targets(now, cluster.coarse_clusters(crowd, 0)))
             if step.isEmpty():
                 break
-        now = cut(moved(now, step))
+        now = fresh(moved(now, step))
     return start.join(now.select("leaf_no", F.col("parent_dir").alias("dir_after")), "leaf_no").where("dir_before <> dir_after")
 
 
@@ -63,35 +63,35 @@ def converge(lv: DataFrame, pg: DataFrame, vectors: DataFrame, probes: DataFrame
     Lifting comes before merging, merging before nesting; a nest stays in the wikis whose routing
     cost it lowers.
     """
-    now, log, pinned = cut(lv), [], None
+    now, log, pinned = fresh(lv), [], None
     for n in range(1, rounds + 1):
         up = cut(tree.lift(now).select("leaf_no", F.regexp_replace("new_path", r"/?[^/]*\z", "").alias("new_dir")))
         if k := up.count():
-            now = cut(moved(now, up))
+            now = fresh(moved(now, up))
             log.append((n, "LIFT", k))
             continue
         pairs = tree.merge_rows(now).groupBy("absorbed").agg(F.min("keeper").alias("keeper"))
         gone = cut(pairs.join(pairs.select(F.col("absorbed").alias("keeper")), "keeper", "left_anti"))
         if k := gone.count():
-            now = cut(now.join(gone.select(F.col("absorbed").alias("leaf_no")), "leaf_no", "left_anti"))
+            now = fresh(now.join(gone.select(F.col("absorbed").alias("leaf_no")), "leaf_no", "left_anti"))
             log.append((n, "MERGE", k))
             continue
         open_ = now if pinned is None else now.join(pinned, "wiki_id", "left_anti")
-        aff = cut(affinity(open_, vectors))
-        cl = cut(cluster.clusters(open_, aff))
+        aff = fresh(affinity(open_, vectors))
+        cl = fresh(cluster.clusters(open_, aff))
         if cl.isEmpty():
             break
-        after = cut(moved(open_, nest_targets(open_, cl)))
+        after = fresh(moved(open_, nest_targets(open_, cl)))
         fine = routing.gate(routing.routing_cost(open_, pg, probes), routing.routing_cost(after, pg, probes)).where("by_likeness").select("wiki_id")
         fine = cut(fine)
         tried = cut(cl.select("dir").distinct().join(open_.select("dir", "wiki_id").distinct(), "dir").select("wiki_id").distinct())
         refused = tried.join(fine, "wiki_id", "left_anti")
-        pinned = cut(refused if pinned is None else pinned.unionByName(refused).distinct())
+        pinned = fresh(refused if pinned is None else pinned.unionByName(refused).distinct())
         kept = after.join(fine, "wiki_id", "left_semi")
         k = kept.join(cl.select("leaf_no"), "leaf_no", "left_semi").count()
         if not k:
             break
-        now = cut(now.join(fine, "wiki_id", "left_anti").unionByName(kept.select(*now.columns)))
+        now = fresh(now.join(fine, "wiki_id", "left_anti").unionByName(kept.select(*now.columns)))
         log.append((n, "NEST", k))
     return now, log
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from thicket.functions.text import content_hash, jaccard, pair_key
+from thicket.functions.vectors import stand_in_vectors
 from thicket.sources.entries import LEAVES_SQL
 
 #: Tier 0: same from, different up to. Tier 1 likewise. The middle band of tier 1 is split here.
@@ -223,4 +224,5 @@ def queries() -> dict:
         "q_ladder_tiered": vec(lambda lv, v: ladder(lv, v, "tiered")),
         "q_affinity": vec(affinity),
         "q_tag_jaccard": of(tags),
+        "q_stand_in_vectors": of(lambda lv: lv.select("leaf_no", stand_in_vectors(F.col("text"), F.col("tokens")).alias("vec"))),
     }

@@ -22,6 +22,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """``cut`` without what the optimizer knows of the rows.
+
+    A checkpoint keeps the constraints of its plan, and over many rounds they grow faster than
+    the data; loops begin each round from rows alone.
+    """
+    spark, rows = df.sparkSession, cut(df)
+    plain = spark._jsparkSession.internalCreateDataFrame(rows._jdf.queryExecution().toRdd(), rows._jdf.schema(), False)
+    return DataFrame(plain, spark)
+
+
 def salted_join(many: DataFrame, one: DataFrame, key: str, spread: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join ``many`` to ``one`` (one row a key) on ``key`` without a hot key ending in one task.
 
