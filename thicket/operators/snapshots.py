@@ -34,9 +34,10 @@ def _absent(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _diff_bucket(batches):
     """Differences of one bucket. Rows: hi, lo, snapshot, earlier, later, value."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
         return
+    table = pa.Table.from_batches(batches)
     c = {n: table.column(n).to_numpy() for n in ("hi", "lo", "snapshot", "earlier", "later", "value")}
     order = np.lexsort((c["snapshot"], c["lo"], c["hi"]))
     c = {n: v[order] for n, v in c.items()}
