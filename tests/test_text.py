@@ -52,3 +52,13 @@ def test_small_ones(spark):
     assert one(spark, t.jaccard(F.col("v"), F.col("w")), v=["a", "b", "a"], w=["b", "c"]) == 1 / 3
     assert one(spark, t.leaf_signs(F.col("v")), v="1. a\n2. b") is True
     assert one(spark, t.authored_zone(F.col("v")), v="x<!-- BEGIN AUTHORED ORIENTATION -->hi\nho<!-- END AUTHORED ORIENTATION -->y") == "hi\nho"
+
+
+def test_grammars(spark):
+    from thicket.operators.scalars import index_path, op_id, rollback_ref
+
+    for raw, want in {"a/./b//index.md": "a/b/index.md", "a/../index.md": "index.md", "../index.md": None, "/a/index.md": None, "C:\\x\\index.md": None, "a/b.md": None}.items():
+        assert one(spark, index_path(F.col("v")), v=raw) == want, raw
+    for raw, want in {"genesis": "op/genesis", "op-1-x": "op/op-1-x", "pre-op-1": "pre-op/op-1", "op/abc": "op/abc", "--all": None}.items():
+        assert one(spark, rollback_ref(F.col("v")), v=raw) == want, raw
+    assert one(spark, op_id(F.lit("2024-01-02 03:04:05").cast("timestamp"), F.lit(255)), v=1) == "op-20240102-030405-00ff"

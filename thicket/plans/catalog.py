@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.operators import cluster, converge, drafts, history, provenance, references, routing, similarity, snapshots, tree, union, validate
+from thicket.operators import cluster, converge, drafts, history, provenance, references, routing, scalars, similarity, snapshots, tree, union, validate
 from thicket.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,6 @@ SQL: dict[str, str] = {
     "p4_counts": snapshots.COUNTS_SQL,
 }
 
-for _module in (similarity, drafts, validate, provenance, tree, routing, union, cluster, history, converge):
+for _module in (similarity, drafts, validate, provenance, tree, routing, union, cluster, history, converge, scalars):
     QUERIES |= _module.queries()
     SQL |= _module.SQL
