@@ -74,7 +74,8 @@ def latest_sources(snapshots: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- requests to an outside judge
 
-KINDS = ("merge_decision", "cluster_name", "propose_structure", "nest_decision", "rebuild_plan", "human_fix", "draft_frontmatter")
+#: The kinds of request to an outside judge.
+KINDS = ("merge_decision", "nest_decision", "cluster_name", "propose_structure", "draft_frontmatter", "rebuild_plan_review", "human_fix_item")
 
 
 def request_id(kind: Column, inputs: Column) -> Column:

@@ -22,8 +22,9 @@ HEAD_BYTES = 262_144
 FORBIDDEN = ("__proto__", "constructor", "prototype")
 #: The order of keys when front matter is written; others follow by name.
 KEY_ORDER = (
-    "id", "type", "depth_role", "depth", "focus", "parents", "covers", "shared_covers", "tags", "domains", "entries", "children",
-    "overlay_targets", "links", "activation", "aliases", "nests_into", "source", "generator", "orientation",
+    "id", "type", "depth_role", "depth", "focus", "parents", "shared_covers", "covers", "tags", "domains", "aliases", "overlay_targets", "nests_into",
+    "activation", "activation_defaults", "links", "source", "orientation", "generator", "mode", "layout_contract_path",
+    "rebuild_needed", "rebuild_reasons", "rebuild_command", "entries", "children",
 )
 
 
