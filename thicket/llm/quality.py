@@ -111,11 +111,12 @@ def _solid(c: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Line ends as line feeds, blanks of any kind as blanks, without marks of no width."""
-    # by bytes: \r, \v, \f, and the beginnings of the other characters in UTF-8
+    # by bytes, as nearly all texts have none of them: \r, \v, \f, and the beginnings of the others in UTF-8
     b = text.cast("binary")
-    odd = [F.contains(b, F.lit(x)) for x in (b"\r", b"\x0b", b"\x0c", b"\xc2\x85", b"\xc2\xa0", b"\xc2\xad", b"\xe2\x80\xa8", b"\xe2\x80\xa9", b"\xe2\x80\xaf", b"\xe3\x80\x80", b"\xef\xbb\xbf", *(bytes((0xE2, 0x80, n)) for n in range(0x80, 0x8E)))]
+    has = lambda *parts: reduce(lambda x, y: x | y, (F.contains(b, F.lit(x)) for x in parts))
+    wide = (F.octet_length(text) != F.length(text)) & has(b"\xc2\x85", b"\xc2\xa0", b"\xc2\xad", b"\xe2\x80", b"\xe3\x80\x80", b"\xef\xbb\xbf")
     c = _sub(_sub(_sub(text, "\r\n?|[\u0085\u2028\u2029]", "\n"), "[\u000b\u000c\u00a0\u2000-\u200a\u202f\u3000]", " "), "[\ufeff\u200b-\u200d\u00ad]", "")
-    return F.when(reduce(lambda x, y: x | y, odd), c).otherwise(text)
+    return F.when(has(b"\r", b"\x0b", b"\x0c") | wide, c).otherwise(text)
 
 
 def _if(c: Column, has: str, then: Column) -> Column:
@@ -132,8 +133,8 @@ def unstructured(text: Column) -> Column:
     for fence in ("```", "~~~"):
         c = _if(c, fence, _sub(c, rf"(?m)^[ \t]*{fence}(?!~)[^\n]*\n(?:[^\n]*\n)*?(?:[ \t]*{fence}[ \t]*$|\z)", "\n"))
     c = _if(c, ">", _sub(c, r"(?m)^[ \t]*(?:>[ \t]?)+", ""))
-    c = _sub(c, rf"(?m)^[ \t]*+(?:{_STRUCTURE})[^\n]*$", "\n")
-    return _sub(c, r"(?m)^([^\n]{100,}+)$", "\n$1\n")
+    # a structured line goes; one too long for wrapped text stays, as a paragraph
+    return _sub(c, rf"(?m)^(?:[ \t]*+(?:{_STRUCTURE})[^\n]*$|([^\n]{{100,}}+)$)", "\n$1\n")
 
 
 def marks(text: Column, words: list[str]) -> Column:
