@@ -84,3 +84,11 @@ def test_every_query_runs(spark):
 
     for name in set(catalog.QUERIES) - set(catalog.SQL):
         assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0, name
+
+
+def test_few_signs_do_not_make_a_line_of_running_text_structure(spark):
+    marked = PROSE.replace("nobody", "<|endoftext|> nobody")
+    signs = [PROSE.replace("hours", x).replace("happened", x) for x in ("| hours", "hours\tor more", "hours   or more", "hours > less")]
+    strewn = [" | ".join(["red", "blue", "green", "door"] * 9), " / ".join(["red", "blue", "green", "door"] * 9), "red\tblue\tgreen", "a | b | the third of them"]
+    got = shares(spark, marked, *signs, *strewn)
+    assert all(x > 0.85 for x in got[:5]) and got[5:] == [0.0] * 4

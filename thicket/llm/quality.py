@@ -32,6 +32,11 @@ EXTRA = "het een van ik niet zijn dat aan met voor wij hij zij ze je uit bij naa
 #: Most words of the table of common words; it is a small fixed table.
 MOST_COMMON = 20_000
 
+#: A line is strewn with signs only if it has one of them for so many words; with fewer it can be running text.
+WORDS_PER_SIGN = 10
+_SIGN = r"\||\t[ \t]*+| {3,}+|(?<= )[/>›»](?= )"
+#: Begins a line that has too few signs to be strewn with them.
+_CALM = "\ue000"
 #: Signs that are strewn through a structured line. A line of ordinary signs alone is read once and passes.
 _ORDINARY = r"(?:[^\n\t|/>›»;,. ]++|[;,](?=\s|$)|\.(?!\.{3})| (?! ))*+$"
 _STREWN = "|".join((
@@ -54,7 +59,7 @@ _STRUCTURE = "|".join((
     r"(?:def|class|for|while|if|return|const|let|var|export|import|function|public|private)\b[^\n]*[:;{}(=)]$|[})\]];?(?:[ \t]*//|$)|(?:return|export|import)[ \t]\S+$|[a-z]++ctl[ \t]|[$%][ \t]",
     r"(?:[a-z]++ )*+[a-z]++/[a-z]++[ \t]+--|(?:if|for|while|elif)[ \t][^\n]{1,60}:[ \t]*(?:return\b|\w+\[|\w+\()",
     r"(?:\w++, ){6}",
-    rf"(?!{_ORDINARY})(?:{_STREWN})",
+    rf"(?!{_ORDINARY})(?<!{_CALM})(?:{_STREWN})",
 ))
 
 
@@ -124,6 +129,19 @@ def _if(c: Column, has: str, then: Column) -> Column:
     return F.when(F.contains(c, F.lit(has)), then).otherwise(c)
 
 
+def _calmed(c: Column) -> Column:
+    """``c`` with ``_CALM`` at the beginning of each line whose signs are too few to part its words into cells.
+
+    A mark such as ``<|endoftext|>`` is no sign but foreign to its line, and goes.
+    """
+    c = _if(c, "<|", _sub(c, r"<\|\w++(?:\|>?|>)", ""))
+    few = lambda x: x.rlike(_SIGN) & (F.regexp_count(x, F.lit(_SIGN)) * WORDS_PER_SIGN < F.regexp_count(x, F.lit(r"[^\s|/>›»]\S*+")))
+    lines = F.array_join(F.transform(F.split(c, "\n"), lambda line: F.when(few(F.btrim(line, F.lit(" \t"))), F.concat(F.lit(_CALM), F.ltrim(line))).otherwise(line)), "\n")
+    # by bytes, as most texts have none of the signs
+    b = c.cast("binary")
+    return F.when(reduce(lambda x, y: x | y, (F.contains(b, F.lit(x.encode())) for x in ("|", "\t", "   ", " / ", " > ", " › ", " » "))), lines).otherwise(c)
+
+
 def unstructured(text: Column) -> Column:
     """What is left of a cleaned text without front matter, fenced code and structured lines.
 
@@ -134,7 +152,8 @@ def unstructured(text: Column) -> Column:
         c = _if(c, fence, _sub(c, rf"(?m)^[ \t]*{fence}(?!~)[^\n]*\n(?:[^\n]*\n)*?(?:[ \t]*{fence}[ \t]*$|\z)", "\n"))
     c = _if(c, ">", _sub(c, r"(?m)^[ \t]*(?:>[ \t]?)+", ""))
     # a structured line goes; one too long for wrapped text stays, as a paragraph
-    return _sub(c, rf"(?m)^(?:[ \t]*+(?:{_STRUCTURE})[^\n]*$|([^\n]{{100,}}+)$)", "\n$1\n")
+    c = _let(c, _calmed)
+    return _without(_sub(c, rf"(?m)^(?:[ \t]*+{_CALM}?+(?:{_STRUCTURE})[^\n]*$|([^\n]{{100,}}+)$)", "\n$1\n"), _CALM)
 
 
 def marks(text: Column, words: list[str]) -> Column:
