@@ -2,7 +2,8 @@
 
 Components are found by passing the smallest label along edges and along labels, all directories at
 once; each round halves what is left of a chain. Directories of more than ``COARSE`` leaves are
-partitioned by farthest-first k-means instead, one directory to a task in blocks of bounded size.
+partitioned by farthest-first k-means instead, one directory to a task, whose likeness is worked out
+in pieces of bounded size.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ THRESHOLDS = (0.10, 0.15, 0.20, 0.25, 0.30, 0.38, 0.46)
 LEAST, MOST, BLOB, COARSE = 3, 8, 0.75, 50
 #: Accepted sizes of a coarse cluster, leaves per cluster aimed at, and rounds.
 COARSE_LEAST, COARSE_MOST, COARSE_EACH, COARSE_ROUNDS = 3, 30, 8, 20
-#: Leaves that one task compares with each other; larger directories are cut into blocks of so many.
-COARSE_BLOCK = 2_000
+#: Clusters, and weights of leaves, that are compared at a time; this bounds memory and changes no result.
+COARSE_WIDTH, COARSE_WEIGHTS = 256, 2_000
 
 
 def threshold_edges(aff: DataFrame) -> DataFrame:
@@ -119,29 +120,65 @@ def purposes(lv: DataFrame, cl: DataFrame, most: int = 4) -> DataFrame:
     return first.join(top, ["dir", "label"], "left").select("dir", "label", F.coalesce("covers", "focus").alias("purpose"))
 
 
+def _dots(ptr: np.ndarray, col: np.ndarray, w: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """The product of sparse rows, none of them empty, with a dense matrix."""
+    out = np.empty((len(ptr) - 1, dense.shape[1]))
+    at = 0
+    while at < len(out):
+        to = max(at + 1, int(np.searchsorted(ptr, ptr[at] + COARSE_WEIGHTS, side="right")) - 1)
+        piece = slice(ptr[at], ptr[to])
+        out[at:to] = np.add.reduceat(dense[col[piece]] * w[piece, None], ptr[at:to] - ptr[at], axis=0)
+        at = to
+    return out
+
+
 def _coarse(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Farthest-first k-means over the likeness of one block of leaves, given as sparse unit vectors."""
+    """Farthest-first k-means over the likeness of the leaves of one directory, given as sparse unit vectors."""
     pdf = pdf.sort_values(["leaf_no", "term"], kind="stable")
     ids, row = np.unique(pdf["leaf_no"].to_numpy(), return_inverse=True)
     _, col = np.unique(pdf["term"].to_numpy(), return_inverse=True)
-    x = np.zeros((len(ids), col.max() + 1))
-    x[row, col] = pdf["w"].to_numpy()
-    like = x @ x.T
-    np.fill_diagonal(like, 0.0)
-    n = len(ids)
+    w = pdf["w"].to_numpy()
+    n, width = len(ids), int(col.max()) + 1
+    ptr = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+    own = np.bincount(row, w * w, n)
     k = max(2, min(-(-n // COARSE_EACH), n // 3))
-    seeds = [0]
+    by = np.argsort(col, kind="stable")
+    start = np.concatenate([[0], np.cumsum(np.bincount(col, minlength=width))])
+
+    def like(leaf: int) -> np.ndarray:
+        out = np.zeros(n)
+        for i in range(ptr[leaf], ptr[leaf + 1]):
+            x = by[start[col[i]] : start[col[i] + 1]]
+            out[row[x]] += w[x] * w[i]
+        out[leaf] = 0.0
+        return out
+
+    seeds, label, nearest = [0], np.zeros(n, np.int64), like(0)
     while len(seeds) < k:
-        nearest = like[:, seeds].max(axis=1)
-        nearest[seeds] = np.inf
-        seeds.append(int(np.argmin(nearest)))
-    label = np.argmax(like[:, seeds], axis=1)
+        left = nearest.copy()
+        left[seeds] = np.inf
+        seeds.append(int(np.argmin(left)))
+        other = like(seeds[-1])
+        label[other > nearest] = len(seeds) - 1
+        nearest = np.maximum(nearest, other)
     label[seeds] = np.arange(k)
     for _ in range(COARSE_ROUNDS):
-        member = np.eye(k)[label]
-        # the mean over a cluster counts a leaf's own zero, so membership is no advantage
-        mean = like @ member / np.maximum(member.sum(axis=0), 1)
-        new = np.argmax(mean, axis=1)
+        members = np.bincount(label, minlength=k)
+        best, new = np.full(n, -np.inf), np.zeros(n, np.int64)
+        for lo in range(0, k, COARSE_WIDTH):
+            hi = min(lo + COARSE_WIDTH, k)
+            mine = np.flatnonzero((label >= lo) & (label < hi))
+            held = np.isin(row, mine)
+            sums = np.bincount(col[held] * (hi - lo) + label[row[held]] - lo, w[held], width * (hi - lo)).reshape(width, hi - lo)
+            mean = _dots(ptr, col, w, sums)
+            # the mean over a cluster counts a leaf's own zero, so membership is no advantage
+            mean[mine, label[mine] - lo] -= own[mine]
+            mean[np.abs(mean) < 1e-12] = 0.0
+            mean /= np.maximum(members[lo:hi], 1)
+            at = np.argmax(mean, axis=1)
+            score = mean[np.arange(n), at]
+            better = score > best
+            best[better], new[better] = score[better], lo + at[better]
         if (new == label).all():
             break
         label = new
@@ -153,15 +190,11 @@ def _coarse(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def coarse_clusters(lv: DataFrame, more_than: int = COARSE) -> DataFrame:
-    """dir, leaf_no, label for directories of more than ``more_than`` leaves.
-
-    A directory of more than ``COARSE_BLOCK`` leaves is cut into blocks by the hash of the leaf.
-    """
+    """dir, leaf_no, label for directories of more than ``more_than`` leaves."""
     n = lv.groupBy("dir").agg(F.count("*").alias("k")).where(F.col("k") > more_than)
     from thicket.operators.similarity import unit_weights
 
-    u = unit_weights(weights(lv)).join(n, "dir").withColumn("block", F.pmod(F.xxhash64("leaf_no"), F.ceil(F.col("k") / COARSE_BLOCK)))
-    return u.groupBy("dir", "block").applyInPandas(lambda pdf: _coarse(pdf), "dir string, leaf_no long, label long")
+    return unit_weights(weights(lv)).join(n, "dir").groupBy("dir").applyInPandas(lambda pdf: _coarse(pdf), "dir string, leaf_no long, label long")
 
 
 def same_sets(one: DataFrame, other: DataFrame) -> DataFrame:
