@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from thicket.llm import quality as q, rules as ir
+from thicket.llm import lines as ln, quality as q, rules as ir
 from thicket.llm.samples import labelled
 
 WORDS = sorted("the of to and a in is it that for was on are with as by at but not this have had they or one we all can there been if more when will who so no what up out about into them only some could these may other most our because any after over did where how first der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an aus er hat dass sie nach bei einer um am sind noch wie einem über so zum war haben nur oder aber vor wir wenn man de la le et les un du une que est pour qui dans par plus pas au sur ne se ce il sont avec son mais comme ou si elle nous cette être fait même on quand el en y los del las por con su para lo o pero sus ha me sin sobre este ya entre cuando todo esta ser son dos también fue".split())
@@ -17,7 +17,7 @@ LIST = "- red bucket\n- blue bucket\n- how to paint a door\n- who owns the door"
 
 
 def shares(spark, *texts):
-    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, total string, parts int").select("doc_id", "text")
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, total string, block int")
     return [r["prose_share"] for r in q.judge(df, WORDS).orderBy("doc_id").collect()]
 
 
@@ -37,8 +37,56 @@ def test_found_leaves_blank_texts_out(spark):
 def test_stored_rules_hold_on_unseen_labels(spark):
     t = q.training_table(spark, WORDS, 600, seed=77)
     columns = {f: t[f].to_numpy("float64") for f in q.FEATURES}
-    right = (ir.predict(ir.from_case(q.PROSE_CASE), columns) != t["label"].to_numpy(bool)).mean()
-    assert right > 0.9
+    right = (ir.predict(ir.from_case(q.JUNK_CASE), columns) != t["label"].to_numpy(bool)).mean()
+    assert right > 0.93
+    t = q.line_table(spark, WORDS, 1500, seed=77)
+    columns = {f: t[f].to_numpy("float64") for f in q.LINE_FEATURES}
+    assert (ir.predict(ir.from_case(q.LINE_CASE), columns) == t["label"].to_numpy(bool)).mean() > 0.97
+
+
+def test_rules_decide(spark):
+    """Without rules only what Markdown delimits is found."""
+    df = spark.createDataFrame([(1, TABLE), (2, LIST), (3, CODE)], "doc_id long, text string")
+    got = {r["doc_id"]: r["prose_chars"] for r in q.judge(df, WORDS, case="CASE WHEN words <= -1.0 THEN true ELSE false END", line_case="CASE WHEN key <= -1.0 THEN true ELSE false END").collect()}
+    assert got[1] > 0 and got[2] > 0 and got[3] == 0
+
+
+def _plain_counts(text):
+    """Tokens, words, numbers, stops and characters of each line, one by one."""
+    out = []
+    for i, line in enumerate(text.split("\n")):
+        tokens = line.split()
+        if not tokens:
+            continue
+        core = [t.rstrip(".,;:!?\"')]…”’») ").lstrip("(\"[“*`~+") for t in tokens]
+        word = [c for c, t in zip(core, tokens) if c and all(ch.isalpha() or ch in "'-" for ch in c)]
+        out.append((i, len(word), sum(c.isdigit() for c in core), sum(any(ch in ".!?…" for ch in t[len(t.rstrip(".,;:!?\"')]…”’»)")):]) for t in tokens), sum(map(len, tokens))))
+    return out
+
+
+def test_counts_of_lines_against_a_plain_reading():
+    texts = [PROSE, "Ein Öl-Fass, Straße 12; “so” sagte er!", "a\n\n  b 7 8.\n\tc.", "x" * 50 + " y", "n'est pas là…", "", "\n\n"]
+    data = np.frombuffer(("\n".join(texts) + "\n").encode(), np.uint8)
+    c = ln.line_counts(data, ln.word_hashes(["ein", "er"]))
+    words = c["common"] + c["short"] + c["long"] + c["names"]
+    got = list(zip(c["line"].tolist(), words.tolist(), c["number"].tolist(), c["stops"].tolist(), c["chars"].tolist()))
+    assert got == _plain_counts("\n".join(texts)) and c["common"].tolist()[1] == 2
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    text = "\n".join([PROSE, "", "- item one", "k: v", "| a | b |", ""] * 40) + "\n"
+    data, known = np.frombuffer(text.encode(), np.uint8), ln.word_hashes(WORDS)
+    want = ln.line_counts(data, known)
+    monkeypatch.setattr(ln, "SLICE", 700)
+    got = ln._pieces(data, known)
+    assert all((got[k] == want[k]).all() for k in want)
+
+
+def test_scripts_without_blanks_and_repeated_rows(spark):
+    text = "我们昨天在河边等了很久，可是没有人来告诉我们发生了什么事。后来天黑了，大家就回家了。"
+    df = spark.createDataFrame([(1, text), (1, text), (1, None), (1, PROSE)], "doc_id long, text string")
+    got = q.judge(df, WORDS).collect()
+    assert len(got) == 4 and sorted(r["prose_chars"] for r in got)[0] == 0
 
 
 def test_induction_and_export(spark):

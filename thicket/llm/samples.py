@@ -126,9 +126,17 @@ def _prose(r: random.Random) -> str:
     lang = r.choice(["en"] * 5 + ["terse"] * 3 + ["de", "fr", "es", "nl"])
     base = "en" if lang == "terse" else lang
     said = [_fill(r, base, r.choice(_SENTENCES[lang])) for _ in range(r.choice([1, 1, 2, 3, 3, 4, 5, 6, 8, 14]))]
-    if r.random() < 0.15:
-        marks = ["…", "½", "<|end|>", "“so”", "(12 %)", "日本", "→", "`f(x)`"]
-        said = [" ".join(w if r.random() > 0.05 else f"{w} {r.choice(marks)}" for w in s.split()) for s in said]
+    if r.random() < 0.3:
+        a, b = r.choice(_ADJ), r.choice(_NOUN["en"])
+        marks = ["…", "½", "<|end|>", "“so”", "(12 %)", "日本", "→", "`f(x)`", f"`{a}_{b}()`", f"`{a}.{b}`", f"{b}-{r.randint(2, 90)}", f"({a}, {b})", f"**{b}**", f"*{a}*", "|", ">", "\t", "  ", "/", "–"]
+        share = r.choice([0.02, 0.05, 0.08])
+        if r.random() < 0.4:  # one sign that elsewhere parts cells
+            marks = [r.choice(["|", ">", "/", "\t", "  "])]
+        said = [" ".join(w if r.random() > share else f"{w} {r.choice(marks)}" for w in s.split()) for s in said]
+    if r.random() < 0.12:  # a talk, or remarks with what they are at their beginning
+        who = r.choice([("Q", "A"), ("Anna", "Tom"), ("Note",), ("Q.", "A."), ("Interviewer", "Marolin"), ("Frage", "Antwort"), ("Tip", "Careful")])
+        turns = [" ".join(said[i : i + 2]) for i in range(0, len(said), 2)]
+        return "\n".join(f"{who[i % len(who)]}: {x}" for i, x in enumerate(turns))
     form = r.random()
     if form < 0.25 and len(said) == 1:
         said = [_fill(r, base, r.choice(_SENTENCES[lang])) for _ in range(r.randint(2, 9))]
@@ -186,3 +194,91 @@ def labelled(n: int, seed: int = 3) -> list[tuple[int, str, bool]]:
     """``n`` documents: number, text, whether it is running text."""
     r = random.Random(seed)
     return [(i, _prose(r), True) if i % 2 else (i, _other(r), False) for i in range(n)]
+
+
+# ---------------------------------------------------------------- labelled lines
+
+
+def _structure(r: random.Random) -> list[str]:
+    """Lines of one kind of structure: headings, items, cells, pairs, code, logs, links, lists of words, encodings."""
+    lang = r.choice(["en", "en", "de", "fr", "es", "nl"])
+    base = _NOUN[lang]
+    noun = lambda: r.choice(base)
+    low = lambda: r.choice(_NOUN["en"] + _ADJ)
+    name = lambda: r.choice(_NAME)
+    phrase = lambda: _fill(r, "en", r.choice(_TITLES)) if r.random() < 0.5 else " ".join(r.choice([noun, low, name])() for _ in range(r.randint(1, 4)))
+    said = lambda: _fill(r, lang, r.choice(_SENTENCES[lang]))
+    text = lambda: said() if r.random() < 0.5 else phrase()
+    number = lambda: r.choice([str(r.randint(0, 9999)), f"{r.randint(0, 99)}.{r.randint(0, 99)}", f"{r.randint(1, 99)} %"])
+    value = lambda: r.choice([number, low, name, phrase, lambda: r.choice(["yes", "no", "true", "false", "null", "n/a", "–", "-", "", "[]"]), lambda: f'"{phrase()}"'])()
+    ident = lambda: r.choice([lambda: f"{low()}_{low()}", lambda: f"{low()}{r.choice(base).capitalize()}", low, lambda: f"{low()}.{low()}", lambda: f"{low()}-{low()}", lambda: f"{low()}_{low()}_{r.randint(1, 9)}"])()
+    n = r.randint(2, 7)
+    kind = r.randrange(20)
+    if kind == 0:
+        return [f"{'#' * r.randint(1, 6)} {phrase()}" for _ in range(n)]
+    if kind in (1, 2):
+        mark = r.choice(["-", "*", "+", "•", "–", "—", "--", "◦", "‣"])
+        box = r.choice(["", "", "", "[ ] ", "[x] "])
+        pad = " " * r.choice([0, 0, 2, 4])
+        return [f"{pad}{mark} {box}{text()}" for _ in range(n)]
+    if kind == 3:
+        style = r.choice(["{}.", "{})", "({})"])
+        return [f"{style.format(i if r.random() < 0.7 else chr(96 + i % 26))} {text()}" for i in range(1, n + 1)]
+    if kind == 4:
+        cells = r.randint(2, 6)
+        edge = r.random() < 0.8
+        row = lambda: " | ".join(r.choice([value, text])() for _ in range(cells))
+        rows = [row() for _ in range(n)]
+        return ["| " + x + " |" for x in rows] + ["|" + "---|" * cells] if edge else rows
+    if kind == 5:
+        return [r.choice("-=_*~#.+<>|: ") * r.randint(3, 60) + r.choice(["", "+", " "]) for _ in range(n)]
+    if kind in (6, 7):
+        key = r.choice([ident, lambda: f"{low()}_{low()}", low, lambda: name()])
+        by = r.choice([": ", ": ", ": ", " : ", " = ", "=", " -> ", " := ", ":\t"])
+        return [f"{' ' * r.choice([0, 0, 2, 4])}{key()}{by}{r.choice([value, value, phrase])()}{r.choice(['', '', '.'])}" for _ in range(n)]
+    if kind == 8:
+        a, b, c = ident(), ident(), ident()
+        return [r.choice([f"def {a}({b}, {c}={number()}):", f"    {a} = {b}.{c}({low()})", f"for {a} in {b}: {c}[{a}] += {r.randint(1, 9)}", f"if {a} is None: return {b}", f"return {a}", f"import {a}", f"from {a} import {b}", f"    if not {a}:", f"        raise ValueError({b})", f"class {name()}({low()}):", f"while {a} < {number()}:", f"print({a}, {b})", f"@{a}", f"# {a} {b}"]) for _ in range(n)]
+    if kind == 9:
+        a, b, c = ident(), ident(), ident()
+        return [r.choice([f"const {a} = await {b}.{c}();", f"let {a} = {{}};", f"}} // {a}", "});", "}", f"function {a}({b}, {c}) {{", f"if ({a} === {b}) {{ return {c}; }}", f"export default {a};", f"int {a}[{r.randint(1, 99)}] = {{0}};", f"public void {a}({name()} {b}) {{", f"SELECT {a}, count(*) FROM {b} WHERE {c} > {number()};", f"  \"{a}\": {number()},", f"<{a} class=\"{b}\">", f"</{a}>", f".{a} {{ {b}: {number()}px; }}", f"/* {a} {b} */"]) for _ in range(n)]
+    if kind == 10:
+        a, b = ident(), ident()
+        return [r.choice([f"export {a.upper()}={number()}", f"$ {low()} {low()} --{b} {number()}", f"{low()}ctl {low()} {a}/{b} --{low()} {number()}", f"cd {a}/{b} && make {low()}", f"{low()} -{r.choice('abcx')} {a} | grep {b}", f"curl -s https://{a}/{b}", f"RUN {low()} install {a} {b}", f"sudo {low()} {a}"]) for _ in range(n)]
+    if kind == 11:
+        stamp = lambda: r.choice([f"20{r.randint(10, 29)}-{r.randint(10, 12)}-{r.randint(10, 28)}{r.choice('T ')}{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}{r.choice(['', 'Z', '.123'])}", f"[{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}]", f"{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}.{r.randint(100, 999)}"])
+        return [f"{stamp()} {r.choice(['INFO', 'WARN', 'ERROR', 'debug', '[main]', ''])} {r.choice([ident, name])()}{r.choice([':', '', ' -'])} {r.choice([phrase, text])()} {r.choice(['', ident() + '=' + number(), number() + 'ms'])}".rstrip() for _ in range(n)]
+    if kind == 12:
+        url = lambda: f"https://{ident()}.example/{ident()}/{r.randint(1, 999)}{r.choice(['', '.html', '#' + low(), '?' + low() + '=' + number().replace(' ', '')])}"
+        return [r.choice([url, lambda: f"[{phrase()}]({url()})", lambda: f"![{phrase()}]({ident()}/{ident()}.png)", lambda: f"{low()}/{ident()}/{ident()}.md", lambda: f"[{phrase()}]({low()}/{ident()}.md)"])() for _ in range(n)]
+    if kind == 13:
+        return [f"{phrase()} {r.choice(['.' * r.randint(4, 40), '. ' * r.randint(4, 20)])} {r.randint(1, 300)}" for _ in range(n)]
+    if kind == 14:
+        by = r.choice([" > ", " / ", " › ", " » ", " | ", " · ", " → "])
+        return [by.join(r.choice([noun, low, name, phrase])() for _ in range(r.randint(3, 9))) for _ in range(n)]
+    if kind == 15:
+        if r.random() < 0.4:
+            return [f"{ident():{r.choice([18, 24, 30])}}  {r.choice([phrase, value])()}" for _ in range(n)]
+        by, k = r.choice([",", ";", "\t", "    ", "\t\t"]), r.randint(3, 8)
+        return [by.join(r.choice([noun, low, name, number])() for _ in range(k)) for _ in range(n)]
+    if kind == 16:
+        by = r.choice([", ", "; ", ", "])
+        return [by.join(r.choice([noun, low, name])() for _ in range(r.randint(7, 40))) + r.choice(["", "", "."]) for _ in range(n)]
+    if kind == 17:
+        raw = base64.b64encode(bytes(r.randrange(256) for _ in range(r.randint(20, 120)))).decode()
+        return [r.choice([raw, raw.lower(), bytes(r.randrange(256) for _ in range(r.randint(12, 60))).hex(), f"sha256:{bytes(r.randrange(256) for _ in range(32)).hex()}"]) for _ in range(n)]
+    if kind == 18:
+        return [" ".join(number() for _ in range(r.randint(1, 20))) for _ in range(n)]
+    return [" ".join("".join(r.choice("!?$%&#*+~§¤€¬±¶<>{}[]^=@|Ãâœ�") for _ in range(r.randint(2, 14))) for _ in range(r.randint(1, 30))) for _ in range(n)]
+
+
+def labelled_lines(n: int, seed: int = 3) -> list[tuple[int, str, bool]]:
+    """``n`` lines: number, text, whether it is structure; half of them are lines of running text."""
+    r = random.Random(seed)
+    text, made = [], []
+    while len(text) < n - n // 2:
+        text += [x for x in _prose(r).split("\n") if x]
+    while len(made) < n // 2:
+        made += [x for x in _structure(r) if x.strip()]
+    both = [(x, False) for x in text[: n - n // 2]] + [(x, True) for x in made[: n // 2]]
+    return [(i, x, label) for i, (x, label) in enumerate(both)]
