@@ -4,11 +4,16 @@ Method: documents are aggregated by membership pattern (the set of listed source
 counts for) to token sums; a min-cost flow routes each pattern's tokens to source quotas, where
 the n-th use of a pattern's documents costs n; then documents are selected in a seeded order
 until each flow is met. Only the pattern table reaches the driver. It has one row per distinct
-set of sources, not per document, and its size is checked against ``MAX_PATTERNS``.
+set of sources, not per document, and its size is checked against ``MAX_PATTERNS`` and ``MAX_NAMES``.
+
+The documents of a pattern stand in one seeded order, which is gone through again and again; the flows
+to its sources are intervals of it, one after the other. So a document that counts for two sources is
+used twice only if all of its pattern are used already.
 
 Defined results. Sources compare without letter case and blanks at the ends; documents whose
 source is null or isn't listed take no part. Null and empty texts have no tokens and are never
-used. Repeated target rows of a source count once (largest weight and repeats); null or
+used. A source is short if the flow, which routes as many tokens as can be, leaves its quota unfilled; quotas
+are shares of the total, rounded up. Repeated target rows of a source count once (largest weight and repeats); null or
 non-positive weights are a target of nothing, and null repeats mean one use. Without documents
 every source with a positive weight is short of nothing, but still listed with shares of zero.
 """
@@ -16,6 +21,8 @@ every source with a positive weight is short of nothing, but still listed with s
 from __future__ import annotations
 
 import heapq
+import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,6 +30,10 @@ from thicket.llm.tokens import RANKS, count_tokens
 
 #: Most distinct source sets that the flow is solved for on the driver.
 MAX_PATTERNS = 20_000
+#: Most names of sources that these sets have together.
+MAX_NAMES = 1_000_000
+#: Uses of a pattern that have an arc each; further ones share arcs of doubling width, at their mean cost.
+SINGLE = 64
 #: Parts that a pattern's documents are summed in, by their place in the seeded order.
 BINS = 4096
 
@@ -53,9 +64,13 @@ def route(patterns: dict[frozenset[str], int], quotas: dict[str, int], repeats:
 
     uses: dict[tuple[frozenset[str], str], list[int]] = {}
     for p, tokens in patterns.items():
-        most = max((repeats[s] for s in p), default=0)
-        for n in range(1, most + 1):
-            arc(at["S"], at[p], tokens, n)
+        # no more uses than the quotas of its sources could take
+        most = min(max((repeats[s] for s in p), default=0), -(-sum(quotas[s] for s in p) // tokens) if tokens else 0)
+        n = 0
+        while n < most:
+            width = 1 if n < SINGLE else min(n, most - n)
+            arc(at["S"], at[p], tokens * width, n + (width + 1) // 2)
+            n += width
         for s in sorted(p):
             uses[p, s] = [arc(at[p], at[s], tokens * repeats[s], 0)]
     for s, q in quotas.items():
@@ -115,34 +130,47 @@ class Plan:
         sums = self.docs.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).limit(MAX_PATTERNS + 1).collect()
         if len(sums) > MAX_PATTERNS:
             raise ValueError(f"more than {MAX_PATTERNS} different sets of sources")
+        if sum(len(r["pattern"]) for r in sums) > MAX_NAMES:
+            raise ValueError(f"more than {MAX_NAMES} sources in the sets of sources")
         self.patterns = {frozenset(r["pattern"]): r["tokens"] or 0 for r in sums}
         self.total = sum(self.patterns.values())
-        self.quotas = {s: round(r["share"] * self.total) for s, r in self.listed.items()}
+        weights = {s: Fraction(repr(r["weight"])) for s, r in self.listed.items()}
+        whole = sum(weights.values())
+        self.quotas = {s: math.ceil(w / whole * self.total) if whole else 0 for s, w in weights.items()}
         self.repeats = {s: max(0, r["repeats"]) for s, r in self.listed.items()}
         self.flow = route(self.patterns, self.quotas, self.repeats)
 
-    def available(self, s: str) -> int:
-        return sum(t for p, t in self.patterns.items() if s in p)
-
     def short(self) -> list[str]:
-        """Listed sources that cannot reach their share even at all their repetitions."""
-        return [s for s, r in self.listed.items() if r["share"] * self.total > self.available(s) * self.repeats[s] or not any(s in p for p in self.patterns)]
+        """Listed sources whose quota the flow can't fill even at all their repetitions, and those without a document."""
+        routed = dict.fromkeys(self.quotas, 0)
+        for (_, s), f in self.flow.items():
+            routed[s] += f
+        held = set().union(*self.patterns) if self.patterns else set()
+        return [s for s, q in self.quotas.items() if routed[s] < q or s not in held]
 
 
 def _use_rows(plan: Plan) -> DataFrame:
-    """pattern, source, full, rest: how often all documents of a pattern are used, and the tokens left over."""
-    rows = []
-    for (p, s), f in plan.flow.items():
-        full, rest = divmod(f, plan.patterns[p]) if plan.patterns[p] else (0, 0)
-        rows.append((sorted(p), s, full, rest))
-    return plan.spark.createDataFrame(rows, "pattern array<string>, source string, full long, rest long")
+    """pattern, source, size, a, b: the interval of a pattern's repeated order that each source has."""
+    rows, at = [], {}
+    for (p, s), f in sorted(plan.flow.items(), key=lambda x: (sorted(x[0][0]), x[0][1])):
+        a = at.get(p, 0)
+        rows.append((sorted(p), s, plan.patterns[p], a, a + f))
+        at[p] = a + f
+    return plan.spark.createDataFrame(rows, "pattern array<string>, source string, size long, a long, b long")
+
+
+def _times(twice: Column) -> Column:
+    """How often the point ``twice`` / 2 of the order lies in the interval, as the order repeats."""
+    floor = lambda x, y: ((x - F.pmod(x, y)) / y).cast("long")
+    up = lambda to: -floor(twice - 2 * F.col(to), 2 * F.col("size"))
+    return up("b") - up("a")
 
 
 def select_documents(plan: Plan, seed: int = 17) -> DataFrame:
     """doc_id, source, uses, tokens of every used document.
 
-    Documents of a pattern are ordered by a seeded hash. Sums per bin of that order tell in which
-    bin a flow's rest ends; only the documents of that bin are summed one by one.
+    Documents of a pattern are ordered by a seeded hash and used where their middle lies in an interval. Sums per
+    bin of that order tell in which bins intervals end; only the documents of those bins are summed one by one.
     """
     docs = plan.docs.where("tokens > 0").withColumn("_at", F.xxhash64(F.lit(seed), "doc_id"))
     docs = docs.withColumn("_bin", F.shiftrightunsigned("_at", 52).cast("int"))
@@ -151,15 +179,13 @@ def select_documents(plan: Plan, seed: int = 17) -> DataFrame:
     # at most BINS rows a pattern: the sums, not the documents, are gathered here
     before = F.sum("_sum").over(Window.partitionBy("pattern").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
     bins = sums.withColumn("_before", F.coalesce(before, F.lit(0)))
-    ends = bins.join(F.broadcast(use), "pattern").withColumn(
-        "_state", F.when(F.col("_before") + F.col("_sum") <= F.col("rest"), 1).when(F.col("_before") >= F.col("rest"), 0).otherwise(2)
-    )
-    ends = ends.select("pattern", "source", "full", "rest", "_bin", "_before", "_state")
+    inside = lambda to: F.pmod(F.col(to), F.col("size")).between(F.col("_before") + 1, F.col("_before") + F.col("_sum") - 1)
+    ends = bins.join(F.broadcast(use), "pattern").withColumn("_edge", inside("a") | inside("b")).withColumn("_uses", _times(2 * F.col("_before") + F.col("_sum")))
+    ends = ends.where("_edge OR _uses > 0").select("pattern", "source", "size", "a", "b", "_bin", "_before", "_edge", "_uses")
     rows = docs.join(ends, ["pattern", "_bin"])
-    whole = rows.where("_state < 2").withColumn("uses", F.col("full") + F.col("_state"))
+    whole = rows.where("NOT _edge").withColumn("uses", F.col("_uses"))
     run = Window.partitionBy("pattern", "source", "_bin").orderBy("_at", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("_before") + F.sum("tokens").over(run)
-    edge = rows.where("_state = 2").withColumn("uses", F.col("full") + (upto - F.col("tokens") / 2 <= F.col("rest")).cast("long"))
+    edge = rows.where("_edge").withColumn("uses", _times(2 * (F.col("_before") + F.sum("tokens").over(run)) - F.col("tokens")))
     return whole.unionByName(edge).where("uses > 0").select("doc_id", "source", "uses", "tokens")
 
 
