@@ -65,3 +65,40 @@ def test_order_of_rows_changes_nothing(spark, parts):
     lv = spark.createDataFrame([("d", i, w.split()) for i, w in enumerate(["a1 b1 c1", "a1 b1 d1", "x1 y1", "x1 y1 z1", "q1"])], "dir string, leaf_no long, tokens array<string>").repartition(parts)
     got = {(r["leaf_a"], r["leaf_b"]): r["cosine"] for r in similarity.cosine_pairs(lv).collect()}
     assert set(got) == {(0, 1), (2, 3)} and got[2, 3] > got[0, 1]
+
+
+def test_absorbed_leaves_lose_nothing(spark):
+    from thicket.operators.converge import absorb
+
+    lv = spark.createDataFrame(
+        [(1, "a", "one", ["x", "y"], ["t"], None, None, None, [("l", "r")]), (2, "b", "two", ["y", "z", None], ["u"], ["d"], ["was-b"], ["o"], [("m", "r")]), (3, "c", "three", None, None, None, None, None, None)],
+        "leaf_no long, id string, focus string, covers array<string>, tags array<string>, domains array<string>, aliases array<string>, overlay_targets array<string>, links array<struct<id:string,relation:string>>",
+    ).selectExpr("*", "'' AS text", "array('') AS tokens")
+    got = {r["leaf_no"]: r for r in absorb(lv, spark.createDataFrame([(2, 1)], "absorbed long, keeper long")).collect()}
+    assert set(got) == {1, 3} and got[3]["covers"] is None
+    k = got[1]
+    assert k["covers"] == ["x", "y", "z"] and k["tags"] == ["t", "u"] and k["domains"] == ["d"] and set(k["aliases"]) == {"b", "was-b"} and k["overlay_targets"] == ["o"] and [x["id"] for x in k["links"]] == ["l", "m"]
+    assert "z" in k["text"]
+
+
+def test_long_chains_reach_their_end(spark):
+    from thicket.operators.cluster import components
+    from thicket.operators.converge import on_cycles
+
+    nodes = spark.createDataFrame([("g", i) for i in range(60)], "g string, n long")
+    edges = spark.createDataFrame([("g", i, i + 1) for i in range(59)], "g string, a long, b long")
+    assert {r["label"] for r in components(nodes, edges).collect()} == {0}
+    lv = spark.createDataFrame([("w", f"e{i}", i, [(f"e{i + 1}", "depends-on")]) for i in range(12)] + [("w", "p", 50, [("q", "depends-on")]), ("w", "q", 51, [("p", "depends-on")])], "wiki_id string, id string, leaf_no long, links array<struct<id:string,relation:string>>")
+    assert {r["leaf_no"] for r in on_cycles(lv).collect()} == {50, 51}
+
+
+def test_a_slug_without_a_free_name_is_an_error(spark):
+    import pytest
+
+    from thicket.operators.union import resolve_slugs
+
+    wanted = spark.createDataFrame([("w", "x"), ("w", "Not A Slug")], "wiki_id string, slug string")
+    taken = spark.createDataFrame([("w", "x"), ("w", "x-group"), ("w", "x-group-2")], "wiki_id string, id string")
+    assert [tuple(r) for r in resolve_slugs(wanted, taken).collect()] == [("w", "x", "x-group-3")]
+    with pytest.raises(Exception, match="no free name for x"):
+        resolve_slugs(wanted, taken, most=2).collect()

@@ -69,3 +69,8 @@ def test_hot_target(spark):
     leaf = [row(i, "w", f"n{i}", links=["gone"]) for i in range(300)]
     assert len(found(orphans(*tables(spark, leaf)))) == 300
     assert isinstance(orphans(*tables(spark, leaf)).schema["leaf_no"].dataType, T.LongType)
+
+
+def test_entries_without_an_id_are_live_whatever_was_removed(spark):
+    t = tables(spark, [row(1, "w", None, links=["nowhere"]), row(2, "w", None, aliases=["by-alias"]), row(3, "w", "x", links=["by-alias"])], gone=[("w", None, D(9), None), ("w", "x.md", D(1), None)])
+    assert found(orphans(*t)) == {(1, "links", "nowhere"), (2, "aliases", "by-alias")}

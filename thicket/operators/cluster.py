@@ -33,11 +33,11 @@ def threshold_edges(aff: DataFrame) -> DataFrame:
     return aff.select("dir", "leaf_a", "leaf_b", "affinity", t.alias("threshold"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes`` (g, n) with ``label``, the smallest node that is reachable by ``edges`` (g, a, b) of its group."""
     both = cut(edges.select("g", "a", "b").unionByName(edges.select("g", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(nodes.select("g", "n", F.col("n").alias("label")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select("g", F.col("n").alias("b"), "label"), ["g", "b"]).groupBy("g", F.col("a").alias("n")).agg(F.min("label").alias("other"))
         step = labels.join(near, ["g", "n"], "left").select("g", "n", F.least("label", F.coalesce("other", "label")).alias("label"), F.col("label").alias("old"))
         jump = step.select("g", F.col("n").alias("label"), F.col("label").alias("further"))
@@ -78,12 +78,14 @@ def shape_scores(parts: DataFrame, aff: DataFrame) -> DataFrame:
 
 
 def clusters(lv: DataFrame, aff: DataFrame) -> DataFrame:
-    """dir, label, leaf_no, threshold of the accepted clusters of each directory's best threshold (the lowest on a tie)."""
+    """dir, label, leaf_no, threshold of the accepted clusters of each directory's best threshold (the lowest on a tie), null where k-means found them."""
     parts = cut(partitions(lv, aff))
     best = shape_scores(parts, aff).groupBy("dir").agg(F.max(F.struct("score", (-F.col("threshold")).alias("t"))).alias("b")).where("b.score > 0").select("dir", (-F.col("b.t")).alias("threshold"))
     mine = parts.join(best, ["dir", "threshold"])
     sizes = mine.groupBy("dir", "label").agg(F.count("*").alias("size")).where(F.col("size").between(LEAST, MOST)).select("dir", "label")
-    return mine.join(sizes, ["dir", "label"]).select("dir", "label", "leaf_no", "threshold")
+    fine = mine.join(sizes, ["dir", "label"]).select("dir", "label", "leaf_no", "threshold")
+    # larger directories have no threshold; k-means parts them
+    return fine.unionByName(coarse_clusters(lv).withColumn("threshold", F.lit(None).cast("double")))
 
 
 def cluster_affinity(cl: DataFrame, aff: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from thicket.functions.text import entry_text, tokenize
 from thicket.operators import cluster, routing, tree
 from thicket.operators.similarity import affinity, bound_vectors
 from thicket.plans.scale import cut, fresh
@@ -54,9 +55,28 @@ def balance(lv: DataFrame, rounds: int = MOST_BALANCE) -> DataFrame:
             if step.isEmpty():
                 break
         now = fresh(moved(now, step))
+    else:
+        raise RuntimeError(f"directories are not balanced after {rounds} rounds")
     return start.join(now.select("leaf_no", F.col("parent_dir").alias("dir_after")), "leaf_no").where("dir_before <> dir_after")
 
 
+def absorb(lv: DataFrame, gone: DataFrame) -> DataFrame:
+    """``lv`` without the leaves that are absorbed (absorbed, keeper); their keepers take over what they hold.
+
+    Covers, tags, domains, links and overlay targets are united, the absorbed ids and their aliases become aliases.
+    """
+    lists = ("covers", "tags", "domains", "links", "overlay_targets", "aliases")
+    some = lambda c: F.coalesce(F.col(c), F.array().cast(lv.schema[c].dataType))
+    lost = gone.select("keeper", F.col("absorbed").alias("leaf_no")).join(lv, "leaf_no")
+    ids = F.array(F.col("id"))
+    taken = lost.groupBy("keeper").agg(*(F.flatten(F.collect_list(F.concat(some(c), ids) if c == "aliases" else some(c))).alias(f"_{c}") for c in lists))
+    kept = lv.join(gone.select(F.col("absorbed").alias("leaf_no")), "leaf_no", "left_anti").join(taken, lv["leaf_no"] == taken["keeper"], "left").drop("keeper")
+    for c in lists:
+        kept = kept.withColumn(c, F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.array_compact(F.array_union(some(c), F.col(f"_{c}"))))).drop(f"_{c}")
+    kept = kept.withColumn("text", entry_text(F.col("focus"), F.col("covers"), F.col("tags"), F.col("domains")))
+    return kept.withColumn("tokens", tokenize(F.col("text"))).select(*lv.columns)
+
+
 def converge(lv: DataFrame, pg: DataFrame, vectors: DataFrame, probes: DataFrame, rounds: int = MOST_CONVERGENCE) -> tuple[DataFrame, list[tuple[int, str, int]]]:
     """The leaves at the fixed point, and round, operator, applied of every round.
 
@@ -73,7 +93,7 @@ def converge(lv: DataFrame, pg: DataFrame, vectors: DataFrame, probes: DataFrame
         pairs = tree.merge_rows(now).groupBy("absorbed").agg(F.min("keeper").alias("keeper"))
         gone = cut(pairs.join(pairs.select(F.col("absorbed").alias("keeper")), "keeper", "left_anti"))
         if k := gone.count():
-            now = fresh(now.join(gone.select(F.col("absorbed").alias("leaf_no")), "leaf_no", "left_anti"))
+            now = fresh(absorb(now, gone))
             log.append((n, "MERGE", k))
             continue
         open_ = now if pinned is None else now.join(pinned, "wiki_id", "left_anti")
@@ -141,7 +161,7 @@ def shape_check(lv: DataFrame, documents: DataFrame) -> DataFrame:
     return every.groupBy("wiki_id", "operator").agg(F.count("*").alias("n"))
 
 
-def on_cycles(lv: DataFrame, rounds: int = 60) -> DataFrame:
+def on_cycles(lv: DataFrame) -> DataFrame:
     """Specified only: leaf_no of leaves that ``depends-on`` links lead back to, or between such leaves.
 
     Leaves nothing points to, or that point to nothing, are peeled off until none is left to peel.
@@ -149,12 +169,14 @@ def on_cycles(lv: DataFrame, rounds: int = 60) -> DataFrame:
     ids = lv.select("wiki_id", "id", F.col("leaf_no").alias("b"))
     e = lv.select("wiki_id", F.col("leaf_no").alias("a"), F.explode("links").alias("l")).where("l.relation = 'depends-on'").select("wiki_id", "a", F.col("l.id").alias("id"))
     edges = cut(e.join(ids, ["wiki_id", "id"]).select("a", "b").distinct())
-    for _ in range(rounds):
+    left = edges.count()
+    while left:
         kept = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
         kept = cut(kept)
-        if kept.count() == edges.count():
+        n = kept.count()
+        if n == left:
             break
-        edges = kept
+        edges, left = kept, n
     return edges.select(F.col("a").alias("leaf_no")).unionByName(edges.select(F.col("b").alias("leaf_no"))).distinct()
 
 

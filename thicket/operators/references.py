@@ -4,8 +4,8 @@ Method: a left anti-join of the distinct non-null foreign keys against the paren
 orphan keys are then joined back, salted, for rows and for counts per field and month.
 
 Defined results. Null targets and targets with an empty form are no references. A missing
-``wiki_id`` is a wiki of its own. Rows of a leaf without ``leaf_no`` don't count. Repeated
-targets of a leaf give one row. Empty tables give no rows. Other columns of the tables are
+``wiki_id`` is a wiki of its own. Rows of a leaf without ``leaf_no`` don't count. An entry with a null id
+is live and answers to nothing but its aliases. Repeated targets of a leaf give one row. Empty tables give no rows. Other columns of the tables are
 never read, whatever they are called.
 """
 
@@ -21,8 +21,8 @@ FIELDS = ("links", "overlay_targets", "aliases")
 
 
 def _key(kind: Column, wiki: Column, form: Column) -> Column:
-    """One string for a key of ``kind`` (``id`` or ``retired``), wiki and compared form."""
-    return F.concat_ws("\u0001", kind, F.coalesce(wiki, F.lit("\u0002")), form)
+    """One string for a key of ``kind`` (``id`` or ``retired``), wiki and compared form; null without a form."""
+    return F.concat(kind, F.lit("\u0001"), F.coalesce(wiki, F.lit("\u0002")), F.lit("\u0001"), form)
 
 
 def live_leaves(leaf: DataFrame, removal: DataFrame) -> DataFrame:
@@ -30,9 +30,11 @@ def live_leaves(leaf: DataFrame, removal: DataFrame) -> DataFrame:
     cur = counting_rows(leaf, "leaf_no", "wiki_id", "id", "aliases", "overlay_targets", "links", "updated_at", "loaded_at")
     cur = cur.withColumn("_id", _key(F.lit("id"), F.col("wiki_id"), reference_form(F.col("id"))))
     gone = removal.select(_key(F.lit("id"), F.col("wiki_id"), reference_form(F.col("id"))).alias("_id"), "removed_at")
-    gone = gone.groupBy("_id").agg(F.max("removed_at").alias("removed_at"))
+    gone = gone.where("_id IS NOT NULL").groupBy("_id").agg(F.max("removed_at").alias("removed_at"))
     dead = F.coalesce(F.col("removed_at") >= F.col("updated_at"), F.lit(False))
-    return cur.join(gone, "_id", "left").where(~dead).drop("removed_at")
+    # entries without an id meet no removal, and would meet in one key
+    named = cur.where("_id IS NOT NULL").join(gone, "_id", "left").where(~dead).drop("removed_at")
+    return named.unionByName(cur.where("_id IS NULL"))
 
 
 def _refs(live: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def _parents(live: DataFrame, index_page: DataFrame, removal: DataFrame) -> Data
     alias = alias.select(_key(F.lit("id"), F.col("wiki_id"), reference_form(F.col("a"))).alias("key"), F.col("loaded_at").alias("since"))
     pages = index_page.select(_key(F.lit("id"), F.col("wiki_id"), reference_form(F.col("id"))).alias("key"), F.col("updated_at").alias("since"))
     retired = removal.select(_key(F.lit("retired"), F.col("wiki_id"), reference_form(F.col("id"))).alias("key"), F.col("removed_at").alias("since"))
-    return ids.unionByName(alias).unionByName(pages).unionByName(retired).groupBy("key").agg(F.min("since").alias("since"))
+    return ids.unionByName(alias).unionByName(pages).unionByName(retired).where("key IS NOT NULL").groupBy("key").agg(F.min("since").alias("since"))
 
 
 def _orphan_keys(refs: DataFrame, parents: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from thicket.functions.forms import HASH_SQL, PATH_SQL, hash_form, path_form
+from thicket.plans.scale import SALTS, cut
 
 CHANGES = ("added", "removed", "changed")
 #: Compact rows (about 50 bytes each) that one bucket is planned for.
@@ -76,18 +77,22 @@ def snapshot_changes(snapshots: DataFrame, buckets: int | None = None) -> DataFr
         F.when(i > 0, F.col("all")[i - 1]).otherwise(-1).alias("earlier"),
         F.when(i + 1 < F.size("all"), F.col("all")[i + 1]).otherwise(-1).alias("later"),
     )
-    delivered = delivered.select(F.xxhash64("wiki_id").alias("wiki"), F.explode(F.transform("all", pair)).alias("d")).select("wiki", "d.*")
+    delivered = cut(delivered.select(F.xxhash64("wiki_id").alias("wiki"), F.explode(F.transform("all", pair)).alias("d")).select("wiki", "d.*"))
+    # one big wiki's delivery is one key of the join below, so it is salted
+    delivered = delivered.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     value = F.when(F.col("hash").isNull(), F.lit(0).cast("long")).otherwise(F.coalesce(F.nullif(F.xxhash64(hash_form(F.col("hash"))), F.lit(0).cast("long")), F.lit(1).cast("long")))
     compact = (
         rows.select(*key, F.xxhash64("wiki_id").alias("wiki"), "snapshot", "scanned_at", value.alias("value"))
         .groupBy("hi", "lo", "wiki", "snapshot")
         .agg(F.max(F.struct("scanned_at", "value")).alias("m"))
-        .select("hi", "lo", "wiki", "snapshot", F.col("m.value").alias("value"))
-        .join(delivered, ["wiki", "snapshot"])
+        .select("hi", "lo", "wiki", "snapshot", F.col("m.value").alias("value"), F.pmod("hi", F.lit(SALTS)).cast("int").alias("salt"))
+        .join(delivered, ["wiki", "snapshot", "salt"])
         .select("hi", "lo", "snapshot", "earlier", "later", "value")
     )
     if buckets is None:
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-snapshots.count() // BUCKET_ROWS))
+        # a Parquet file tells its rows without being read
+        rows_of = snapshots.agg(F.count("*")).collect()[0][0]
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows_of // BUCKET_ROWS))
     diff = compact.repartition(buckets, "hi", "lo").mapInArrow(_diff_bucket, "hi long, lo long, snapshot_no int, kind int")
     diff = diff.withColumn("change", F.element_at(F.array(*map(F.lit, CHANGES)), F.col("kind") + 1)).drop("kind")
     # only differing keys fetch their full values, once each

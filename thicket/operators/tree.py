@@ -38,6 +38,28 @@ def index_entries(lv: DataFrame) -> DataFrame:
     return lv.select("dir", "id", F.substring_index("path", "/", -1).alias("file"), "type", focus.alias("focus"))
 
 
+def rebuilt_index(lv: DataFrame, pg: DataFrame) -> DataFrame:
+    """wiki_id, path, depth_role, entries, children, shared_covers of the index page of every directory.
+
+    Entries are lines of id, file and type in order of the file, children the subdirectories; shared covers are those
+    that all leaves of a directory (two at least) have, and those that its page already names. A page lists its
+    directory, so a row is as large as the page that it describes.
+    """
+    d = directories(lv)
+    line = F.struct(F.substring_index("path", "/", -1).alias("f"), F.concat_ws(" ", "id", F.substring_index("path", "/", -1), "type").alias("x"))
+    own = lv.groupBy("wiki_id", F.col("parent_dir").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["x"]), "\n").alias("entries"))
+    up = F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*\z", "")).otherwise("")
+    subs = d.where("path <> ''").select("wiki_id", up.alias("up"), F.substring_index("path", "/", -1).alias("c")).groupBy("wiki_id", F.col("up").alias("path")).agg(F.array_join(F.array_sort(F.collect_list("c")), "\n").alias("children"))
+    held = shared(lv.withColumn("dir", F.struct("wiki_id", F.col("parent_dir").alias("path"))), "covers").select("dir.*", "value")
+    named = pg.select("wiki_id", F.col("parent_dir").alias("path"), F.explode("shared_covers").alias("value")).where("value IS NOT NULL")
+    covers = held.unionByName(named).groupBy("wiki_id", "path").agg(F.array_join(F.array_sort(F.collect_set("value")), "\n").alias("shared_covers"))
+    out = d
+    for part in (own, subs, covers):
+        out = out.join(part, ["wiki_id", "path"], "left")
+    role = F.when(F.col("depth") == 0, "category").otherwise("subcategory")
+    return out.select("wiki_id", "path", role.alias("depth_role"), "entries", "children", "shared_covers")
+
+
 def children(pg: DataFrame) -> DataFrame:
     """dir, child, file: the index pages that lie one directory below each."""
     return pg.where("parent_dir <> ''").select(F.col("up").alias("dir"), F.col("id").alias("child"), F.concat(F.substring_index("parent_dir", "/", -1), F.lit("/index.md")).alias("file"))
@@ -163,7 +185,7 @@ def soft_parents(lv: DataFrame, pg: DataFrame) -> DataFrame:
 
 def soft_entries(lv: DataFrame, pg: DataFrame) -> DataFrame:
     """dir, id: leaves that other directories list because ``parents`` after the first name them."""
-    p = lv.select("dir", "id", F.explode(F.slice("parents", 2, 1000)).alias("p")).where("p IS NOT NULL")
+    p = lv.select("dir", "id", F.explode(F.slice("parents", 2, F.greatest(F.size("parents"), F.lit(1)))).alias("p")).where("p IS NOT NULL")
     steps = F.filter(F.split(F.concat_ws("/", "dir", "p"), "/"), lambda x: (x != ".") & (x != ""))
     walk = F.aggregate(steps, F.array().cast("array<string>"), lambda s, x: F.when(x == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.concat(s, F.array(x))))
     to = F.regexp_replace(F.array_join(walk, "/"), r"/index\.md\z", "")
@@ -200,6 +222,12 @@ mp AS (SELECT a.dir, a.leaf_no AS leaf_a, b.leaf_no AS leaf_b FROM mc a JOIN mc
 _UNION = "array_to_string(list_filter(list_concat(list_filter(coalesce({0}, []), lambda z: z IS NOT NULL), list_filter(coalesce({1}, []), lambda z: z IS NOT NULL)), lambda z, i: list_position(list_concat(list_filter(coalesce({0}, []), lambda y: y IS NOT NULL), list_filter(coalesce({1}, []), lambda y: y IS NOT NULL)), z) = i), chr(10))"
 SQL = {
     "q_index_entries": _W + r"SELECT dir, id, regexp_replace(path, '^.*/', '') AS file, type, coalesce(nullif(focus, ''), array_to_string(list_transform(string_split(replace(id, '-', ' '), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')) AS focus FROM ent",
+    "q_rebuild_index": _W + r""", en AS (SELECT wiki_id, parent_dir AS path, string_agg(concat_ws(' ', id, regexp_replace(path, '^.*/', ''), type), chr(10) ORDER BY regexp_replace(path, '^.*/', ''), concat_ws(' ', id, regexp_replace(path, '^.*/', ''), type)) AS entries FROM ent GROUP BY ALL),
+ch AS (SELECT wiki_id, CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '/[^/]*\z', '') ELSE '' END AS path, string_agg(regexp_replace(path, '^.*/', ''), chr(10) ORDER BY regexp_replace(path, '^.*/', '')) AS children FROM dirs WHERE path <> '' GROUP BY 1, 2),
+hv AS (SELECT wiki_id, parent_dir AS path, value, count(*) AS k FROM (SELECT wiki_id, parent_dir, leaf_no, unnest(list_distinct(covers)) AS value FROM ent) GROUP BY ALL),
+cv AS (SELECT wiki_id, path, string_agg(DISTINCT value, chr(10) ORDER BY value) AS shared_covers FROM (SELECT wiki_id, path, value FROM hv JOIN own USING (wiki_id, path) WHERE k = leaves AND leaves >= 2
+  UNION ALL SELECT wiki_id, parent_dir, v FROM (SELECT wiki_id, parent_dir, unnest(shared_covers) AS v FROM page) WHERE v IS NOT NULL) GROUP BY ALL)
+SELECT wiki_id, path, CASE WHEN depth = 0 THEN 'category' ELSE 'subcategory' END AS depth_role, entries, children, shared_covers FROM dirs LEFT JOIN en USING (wiki_id, path) LEFT JOIN ch USING (wiki_id, path) LEFT JOIN cv USING (wiki_id, path)""",
     "q_children": _W + r"SELECT up AS dir, id AS child, regexp_replace(parent_dir, '^.*/', '') || '/index.md' AS file FROM page WHERE parent_dir <> ''",
     "q_stubs": _W + "SELECT d.wiki_id, d.path, CASE WHEN depth = 0 THEN 'category' ELSE 'subcategory' END AS depth_role FROM dirs d ANTI JOIN page p ON p.wiki_id = d.wiki_id AND p.parent_dir = d.path",
     "q_shared_covers": _W + "SELECT dir, value FROM (SELECT dir, value, count(*) AS k FROM (SELECT dir, leaf_no, unnest(list_distinct(covers)) AS value FROM ent) GROUP BY ALL) JOIN (SELECT dir, count(*) AS n FROM ent GROUP BY ALL) USING (dir) WHERE k = n AND n >= 2",
@@ -244,7 +272,7 @@ def queries() -> dict:
     lv = lambda fn: lambda s, d: fn(leaves(s, d))
     both = lambda fn: lambda s, d: fn(leaves(s, d), pages(s, d))
     return {
-        "q_index_entries": lv(index_entries), "q_children": lambda s, d: children(pages(s, d)), "q_stubs": both(stubs),
+        "q_index_entries": lv(index_entries), "q_children": lambda s, d: children(pages(s, d)), "q_rebuild_index": both(rebuilt_index), "q_stubs": both(stubs),
         "q_shared_covers": lv(lambda x: shared(x, "covers")), "q_stub_tags": lv(lambda x: shared(x, "tags", 1)),
         "q_fanout": lv(fanout), "q_fanout_stats": lv(fanout_stats), "q_depth": lv(lambda x: directories(x).select("wiki_id", "path", "depth")), "q_passthrough": lv(passthroughs),
         "q_lift": lv(lift), "q_flatten": lv(flatten), "q_decompose": lv(decompose), "q_nest_hint": lv(nest_hints), "q_merge_pairs": lv(merge_pairs), "q_merge_rows": lv(merge_rows),

@@ -53,6 +53,26 @@ def rewired(lv: DataFrame, renames: DataFrame) -> DataFrame:
     return ref.join(r, ["wiki_id", "ref"], "left").select("leaf_no", "ref", F.coalesce("new_id", "ref").alias("new_ref"))
 
 
+def joined(ent: DataFrame, lv: DataFrame) -> DataFrame:
+    """wiki_id, kind, path, id, links, overlay_targets of every entry in the wiki that all sources are joined into.
+
+    Paths lie below the name of the source. Entries that lose an id are renamed, and what their source says of them in
+    ``links`` and ``overlay_targets`` follows; both come out as distinct sorted lines, null for pages and empty lists.
+    """
+    renames = namespaced(ent)
+    own = renames.select("wiki_id", "kind", "path", "new_id").dropDuplicates(["wiki_id", "kind", "path"])
+    rows = ent.select("wiki_id", "kind", "path", "id").join(own, ["wiki_id", "kind", "path"], "left")
+    where = F.concat_ws("/", namespace(F.col("wiki_id")), "path")
+    rows = rows.select("wiki_id", "kind", "path", where.alias("new_path"), F.coalesce("new_id", "id").alias("id"))
+    names = renames.groupBy("wiki_id", F.col("id").alias("ref")).agg(F.min("new_id").alias("new_ref"))
+    of = lambda field, get: F.transform(F.coalesce(F.col(field), F.array()), lambda x: F.struct(F.lit(field).alias("field"), get(x).alias("ref")))
+    refs = lv.select("wiki_id", "path", F.explode(F.concat(of("links", lambda x: x["id"]), of("overlay_targets", lambda x: x))).alias("r")).select("wiki_id", "path", "r.*").where("ref IS NOT NULL")
+    refs = refs.join(names, ["wiki_id", "ref"], "left").withColumn("to", F.coalesce("new_ref", "ref"))
+    lines = lambda f: F.array_join(F.array_sort(F.collect_set(F.when(F.col("field") == f, F.col("to")))), "\n")
+    refs = refs.groupBy("wiki_id", "path").agg(*(F.nullif(lines(f), F.lit("")).alias(f) for f in ("links", "overlay_targets"))).withColumn("kind", F.lit("leaf"))
+    return rows.join(refs, ["wiki_id", "kind", "path"], "left").select("wiki_id", "kind", F.col("new_path").alias("path"), "id", "links", "overlay_targets")
+
+
 def same_focus(pg: DataFrame) -> DataFrame:
     """focus, pages: index pages of different directories with the same focus."""
     f = F.lower(F.trim("focus"))
@@ -74,8 +94,11 @@ def resolve_slugs(wanted: DataFrame, forbidden: DataFrame, most: int = 99) -> Da
     """wiki_id, slug, resolved: the slug, ``-group``, ``-group-2`` and so on, whichever is free and valid first."""
     tries = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda n: F.struct(n.alias("n"), F.when(n == 0, F.col("slug")).when(n == 1, F.concat("slug", F.lit("-group"))).otherwise(F.concat(F.col("slug"), F.lit("-group-"), n.cast("string"))).alias("id")))
     t = wanted.select("wiki_id", "slug", F.explode(tries).alias("t")).select("wiki_id", "slug", "t.n", "t.id").where(valid_slug(F.col("id")))
-    free = t.join(forbidden, ["wiki_id", "id"], "left_anti")
-    return free.groupBy("wiki_id", "slug").agg(F.min_by("id", "n").alias("resolved"))
+    free = t.join(forbidden, ["wiki_id", "id"], "left_anti").groupBy("wiki_id", "slug").agg(F.min_by("id", "n").alias("resolved"))
+    # a slug that none of the tries is free for stops the plan, unless nothing of it is a valid name
+    none = F.raise_error(F.concat(F.lit("no free name for "), "slug")).cast("string")
+    out = wanted.select("wiki_id", "slug").distinct().join(free, ["wiki_id", "slug"], "left").where(F.col("resolved").isNotNull() | valid_slug(F.col("slug")))
+    return out.select("wiki_id", "slug", F.coalesce("resolved", none).alias("resolved"))
 
 
 def already_reported(findings: DataFrame, known: DataFrame) -> DataFrame:
@@ -99,6 +122,12 @@ SQL = {
     "q_collision_namespace": _B + "SELECT * FROM ren",
     "q_collision_merge": _B + "SELECT r.id, r.wiki_id, r.path, CASE WHEN r.kind = f.kind AND r.focus IS NOT DISTINCT FROM f.focus AND r.type IS NOT DISTINCT FROM f.type AND r.depth_role IS NOT DISTINCT FROM f.depth_role THEN 'merge' ELSE 'refuse' END AS verdict FROM rk r JOIN rk f ON f.id = r.id AND f.rank = 1 WHERE r.rank > 1",
     "q_rewire": _B + ", lk AS (SELECT DISTINCT leaf_no, wiki_id, ref FROM (SELECT leaf_no, wiki_id, unnest(links).id AS ref FROM ent) WHERE ref IS NOT NULL) SELECT leaf_no, ref, coalesce(new_id, ref) AS new_ref FROM lk LEFT JOIN (SELECT wiki_id, id, min(new_id) AS new_id FROM ren GROUP BY ALL) r ON r.wiki_id = lk.wiki_id AND r.id = lk.ref",
+    "q_join": _B + r""", own AS (SELECT wiki_id, kind, path, any_value(new_id) AS new_id FROM ren GROUP BY ALL), mp AS (SELECT wiki_id, id AS ref, min(new_id) AS new_ref FROM ren GROUP BY ALL),
+rf AS (SELECT wiki_id, path, 'links' AS field, unnest(links).id AS ref FROM ent UNION ALL SELECT wiki_id, path, 'overlay_targets', unnest(overlay_targets) FROM ent),
+nr AS (SELECT wiki_id, path, field, coalesce(new_ref, ref) AS x FROM rf LEFT JOIN mp USING (wiki_id, ref) WHERE ref IS NOT NULL),
+ag AS (SELECT wiki_id, path, 'leaf' AS kind, nullif(string_agg(DISTINCT x, chr(10) ORDER BY x) FILTER (field = 'links'), '') AS links, nullif(string_agg(DISTINCT x, chr(10) ORDER BY x) FILTER (field = 'overlay_targets'), '') AS overlay_targets FROM nr GROUP BY wiki_id, path)
+SELECT e.wiki_id, e.kind, regexp_replace(e.wiki_id, '\.wiki\z', '') || '/' || e.path AS path, coalesce(own.new_id, e.id) AS id, links, overlay_targets
+FROM every e LEFT JOIN own USING (wiki_id, kind, path) LEFT JOIN ag USING (wiki_id, kind, path)""",
     "q_same_focus": _B + "SELECT lower(trim(focus)) AS focus, count(*) AS pages FROM page WHERE trim(focus) <> '' GROUP BY 1 HAVING count(*) > 1",
     "q_live_ids": _B + "SELECT DISTINCT wiki_id, id FROM every WHERE id IS NOT NULL",
     "q_forbidden_ids": _B + "SELECT wiki_id, id FROM forb",
@@ -113,6 +142,7 @@ def queries() -> dict:
     return {
         "q_plan_union": ent(plan_union), "q_collision_namespace": ent(namespaced), "q_collision_merge": ent(mergeable),
         "q_rewire": lambda s, d: rewired(leaves(s, d), namespaced(entries(s, d))), "q_same_focus": lambda s, d: same_focus(pages(s, d)),
+        "q_join": lambda s, d: joined(entries(s, d), leaves(s, d)),
         "q_live_ids": ent(live_ids), "q_forbidden_ids": lambda s, d: forbidden_ids(entries(s, d), leaves(s, d)),
         "q_slug_resolve": lambda s, d: resolve_slugs(pages(s, d).where("id IS NOT NULL").select("wiki_id", F.col("id").alias("slug")).distinct(), forbidden_ids(entries(s, d), leaves(s, d))),
     }

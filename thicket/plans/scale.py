@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, functions as F
 
 #: Replicas of the distinct side of a salted join; a hot key is spread over so many tasks.
@@ -13,12 +11,17 @@ SALTS = 16
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by ``checkpoint()``.
 
-    The folder is that of ``spark.checkpoint.dir``; a temporary one is set only where the
-    session names none (tests, a single machine).
+    The folder is that of ``spark.checkpoint.dir``, which every executor must see. Only in local mode, where
+    there is one machine, the session's own scratch folder stands in for it.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="thicket-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = f"{sc.getConf().get('spark.local.dir', '/tmp')}/thicket-{sc.applicationId}"
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 

@@ -7,6 +7,7 @@ failure changes nothing.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,7 +22,9 @@ def upsert_batch(target: str):
         one = batch.groupBy("wiki_id", "path").agg(F.max_by("hash", "updated_at").alias("hash"), F.max("updated_at").alias("updated_at"))
         try:
             have = spark.read.parquet(target)
-        except Exception:  # the first batch finds no folder
+        except AnalysisException as e:  # the first batch finds no folder; any other failure is one
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             have = spark.createDataFrame([], "wiki_id string, path string, hash string, updated_at timestamp_ntz")
         todo = resume(one, have.select("wiki_id", "path", "hash", "updated_at")).where("action <> 'skip'")
         one.join(todo, ["wiki_id", "path"]).write.mode("append").parquet(target)
