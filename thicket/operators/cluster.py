@@ -13,14 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from thicket.functions.text import fnv1a, valid_slug
-from thicket.operators.similarity import BASE as SIM, affinity, bound_vectors, weights
+from thicket.operators.similarity import BASE as SIM, SMALL, affinity, bound_vectors, weights
 from thicket.plans.scale import cut
 from thicket.sources.entries import leaves
 from thicket.sources.tables import table
 
 THRESHOLDS = (0.10, 0.15, 0.20, 0.25, 0.30, 0.38, 0.46)
 #: Accepted sizes of a cluster, the share that makes a component a blob, and when k-means takes over.
-LEAST, MOST, BLOB, COARSE = 3, 8, 0.75, 50
+LEAST, MOST, BLOB, COARSE = 3, 8, 0.75, SMALL
 #: Accepted sizes of a coarse cluster, leaves per cluster aimed at, and rounds.
 COARSE_LEAST, COARSE_MOST, COARSE_EACH, COARSE_ROUNDS = 3, 30, 8, 20
 #: Clusters, and weights of leaves, that are compared at a time; this bounds memory and changes no result.
@@ -58,10 +58,7 @@ def partitions(lv: DataFrame, aff: DataFrame) -> DataFrame:
 
 
 def shape_scores(parts: DataFrame, aff: DataFrame) -> DataFrame:
-    """threshold, dir, score: coverage by accepted clusters, times their number, times their cohesion.
-
-    Pairs without a common term count with affinity 0.
-    """
+    """threshold, dir, score: coverage by accepted clusters, times their number, times their cohesion."""
     sizes = parts.groupBy("threshold", "dir", "label").agg(F.count("*").alias("size"))
     n = parts.groupBy("threshold", "dir").agg(F.count("*").alias("n"))
     ok = F.col("size").between(LEAST, MOST)

@@ -1,7 +1,9 @@
 """The similarity ladder: TF-IDF within a directory, vectors, set overlap, and how they decide.
 
 Pairs are made by an inverted index: only siblings that share a term meet. Siblings without a
-common term have similarity 0, are ``different`` and don't come out.
+common term have similarity 0, are ``different`` and don't come out. The affinity has other grounds
+than terms, so it is there for all siblings of a directory of at most ``SMALL`` leaves, the
+directories whose pairs are clustered; larger ones are not compared pair by pair.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from thicket.sources.entries import LEAVES_SQL
 SAME0, DIFFERENT0, SAME1, DIFFERENT1, MIDDLE = 0.85, 0.30, 0.80, 0.45, 0.625
 #: Weights of tier 0, tier 1, tags and keywords in the affinity.
 WEIGHTS = (0.25, 0.40, 0.20, 0.15)
+#: Leaves of a directory up to which all its pairs have an affinity.
+SMALL = 50
 
 
 def term_counts(leaves: DataFrame) -> DataFrame:
@@ -130,7 +134,11 @@ def ladder(leaves: DataFrame, vectors: DataFrame, mode: str = "deterministic") -
 def affinity(leaves: DataFrame, vectors: DataFrame) -> DataFrame:
     """dir, leaf_a, leaf_b, affinity: the weighted sum of the four likenesses of siblings."""
     side = lambda s: leaves.select(F.col("leaf_no").alias(f"leaf_{s}"), F.col("tags").alias(f"t{s}"), F.transform(F.coalesce(F.col("activation.keyword_matches"), F.array().cast("array<string>")), F.lower).alias(f"k{s}"))
-    p = tier1(cosine_pairs(leaves), vectors).join(side("a"), "leaf_a").join(side("b"), "leaf_b")
+    n = leaves.groupBy("dir").agg(F.count("*").alias("_n")).where(F.col("_n") <= SMALL).select("dir")
+    one = lambda s: leaves.select("dir", F.col("leaf_no").alias(f"leaf_{s}"))
+    siblings = one("a").join(n, "dir", "left_semi").join(one("b"), "dir").where("leaf_a < leaf_b")
+    met = siblings.join(cosine_pairs(leaves), ["dir", "leaf_a", "leaf_b"], "full").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+    p = tier1(met, vectors).join(side("a"), "leaf_a").join(side("b"), "leaf_b")
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     w0, w1, wt, wk = WEIGHTS
     total = w0 * F.col("cosine") + w1 * clip(F.col("similarity")) + wt * jaccard(F.col("ta"), F.col("tb")) + wk * jaccard(F.col("ka"), F.col("kb"))
@@ -145,13 +153,22 @@ idf AS (SELECT dir, term, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT dir
   JOIN (SELECT dir, count(*) AS n FROM tok GROUP BY ALL) USING (dir)),
 wt AS (SELECT dir, leaf_no, term, tf * idf AS w FROM tf JOIN idf USING (dir, term)),
 unit AS (SELECT dir, leaf_no, term, w / norm AS w FROM wt JOIN (SELECT dir, leaf_no, sqrt(sum(w * w)) AS norm FROM wt GROUP BY ALL) USING (dir, leaf_no)),
-pairs AS (SELECT dir, a.leaf_no AS leaf_a, b.leaf_no AS leaf_b, round(sum(a.w * b.w), 6) AS cosine
+pairs AS MATERIALIZED (SELECT dir, a.leaf_no AS leaf_a, b.leaf_no AS leaf_b, round(sum(a.w * b.w), 6) AS cosine
   FROM unit a JOIN unit b USING (dir, term) WHERE a.leaf_no < b.leaf_no GROUP BY ALL),
 t0 AS (SELECT *, CASE WHEN cosine >= {SAME0} THEN 'same' WHEN cosine <= {DIFFERENT0} THEN 'different' ELSE 'escalate' END AS verdict FROM pairs),
 hash AS (SELECT leaf_no, 'sha256:' || sha256(text) AS entry_hash FROM tok),
-vec AS (SELECT leaf_no, embedding::DOUBLE[] AS vec FROM tok JOIN embeddings ON vec_id = leaf_no % (SELECT count(*) FROM embeddings)),
-t1 AS (SELECT p.dir, p.leaf_a, p.leaf_b, p.cosine, p.verdict, round(list_cosine_similarity(a.vec, b.vec), 6) AS similarity
-  FROM t0 p JOIN vec a ON a.leaf_no = leaf_a JOIN vec b ON b.leaf_no = leaf_b),
+nvec AS MATERIALIZED (SELECT count(*) AS n FROM embeddings),
+keyed AS MATERIALIZED (SELECT leaf_no, leaf_no % n AS vec_id FROM tok, nvec),
+vraw AS MATERIALIZED (SELECT leaf_no, embedding::DOUBLE[] AS vec FROM keyed JOIN embeddings USING (vec_id)),
+vec AS MATERIALIZED (SELECT leaf_no, vec, sqrt(list_dot_product(vec, vec)) AS norm FROM vraw),
+met AS MATERIALIZED (SELECT p.dir, p.leaf_a, p.leaf_b, p.cosine, p.verdict FROM t0 p),
+t1 AS (SELECT p.*, round(list_dot_product(a.vec, b.vec) / (a.norm * b.norm), 6) AS similarity
+  FROM met p JOIN vec a ON a.leaf_no = leaf_a JOIN vec b ON b.leaf_no = leaf_b),
+sib AS MATERIALIZED (SELECT a.dir, a.leaf_no AS leaf_a, b.leaf_no AS leaf_b FROM tok a JOIN tok b ON a.dir = b.dir AND a.leaf_no < b.leaf_no
+  WHERE a.dir IN (SELECT dir FROM tok GROUP BY dir HAVING count(*) <= {SMALL})),
+every_pair AS MATERIALIZED (SELECT dir, leaf_a, leaf_b, coalesce(cosine, 0.0) AS cosine FROM sib FULL JOIN pairs USING (dir, leaf_a, leaf_b)),
+t1a AS (SELECT p.*, round(list_dot_product(a.vec, b.vec) / (a.norm * b.norm), 6) AS similarity
+  FROM every_pair p JOIN vec a ON a.leaf_no = leaf_a JOIN vec b ON b.leaf_no = leaf_b),
 kw AS (SELECT leaf_no, list_transform(coalesce(activation.keyword_matches, []), lambda x: lower(x)) AS k, coalesce(tags, []) AS t FROM ent)"""
 _BOTH = lambda a, b: (
     f"(len(list_distinct({a})) + len(list_distinct({b})) - len(list_intersect(list_distinct({a}), list_distinct({b}))))"
@@ -160,7 +177,7 @@ _JACCARD = lambda a, b: f"CASE WHEN {_BOTH(a, b)} = 0 THEN 0.0 ELSE len(list_int
 BASE += f""",
 aff AS (SELECT p.dir, leaf_a, leaf_b, round({WEIGHTS[0]} * cosine + {WEIGHTS[1]} * greatest(0, least(1, similarity))
   + {WEIGHTS[2]} * ({_JACCARD('ka.t', 'kb.t')}) + {WEIGHTS[3]} * ({_JACCARD('ka.k', 'kb.k')}), 9) AS affinity
-  FROM t1 p JOIN kw ka ON ka.leaf_no = leaf_a JOIN kw kb ON kb.leaf_no = leaf_b)
+  FROM t1a p JOIN kw ka ON ka.leaf_no = leaf_a JOIN kw kb ON kb.leaf_no = leaf_b)
 """
 SQL = {
     "q_tokens": BASE + "SELECT leaf_no, unnest(tokens) AS term FROM tok",
