@@ -78,3 +78,22 @@ def test_kernels():
 def test_trees_reach_the_recall(s):
     n = o.trees_for(s)
     assert s == 1.0 or (1 - s**o.SHALLOW) ** n <= 1 - o.RECALL
+
+
+def test_links_are_the_pairs_of_each_record(spark, monkeypatch):
+    """Classes with links tell as many pairs as the expanded form, also with copies in several parts."""
+    import random
+
+    from thicket.llm import overlap
+
+    r = random.Random(8)
+    pools = [[f"v{i}{chr(97 + k)}" for k in range(8)] for i in range(6)]
+    rows = [(i, r.sample(r.choice(pools), r.choice([5, 6, 7])), None, None, None) for i in range(90)] + [(1000 + i, pools[0][:6], ["x"], None, None) for i in range(25)]
+    leaf = spark.createDataFrame(rows, "leaf_no long, covers array<string>, tags array<string>, updated_at timestamp, loaded_at timestamp")
+    monkeypatch.setattr(overlap, "COPIES", 4)
+    pairs = [tuple(x) for x in overlap.leaf_pairs(leaf).collect()]
+    sets = {x[0]: set(x[1]) | set(x[2] or []) for x in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * 5 >= 3 * len(sets[a] | sets[b])}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    links = {x["leaf_no"]: x["links"] for x in overlap.leaf_links(leaf).collect()}
+    assert sum(links.values()) == 2 * len(pairs) and links[1000] == sum(1000 in p for p in pairs)

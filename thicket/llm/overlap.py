@@ -36,6 +36,8 @@ SHALLOW, DEEP, CROWD = 3, 7, 1024
 RECALL, ROUNDS = 0.9995, 3
 #: Trees a round beyond what the recall needs, so that some crowded trees cost a set no second round.
 SPARE = 1.25
+#: Copies of a set that are expanded into pairs at once.
+COPIES = 1_000
 #: Pairs that are compared at once.
 BLOCK = 250_000
 
@@ -255,10 +257,14 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, recall: float =
 
 def _expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs of records: of different sets over the threshold, and of equal sets."""
-    a = members.select(F.col("rep").alias("a"), F.col("record").alias("x"))
-    b = members.select(F.col("rep").alias("b"), F.col("record").alias("y"))
-    far = pairs.join(a, "a").join(b, "b")
-    same = a.join(b, F.col("a") == F.col("b")).where("x < y")
+    # the copies of a set are in parts of bounded size, each a key of its own, so that a large group is many tasks
+    size = members.groupBy("rep").agg(F.ceil(F.count("*") / COPIES).cast("int").alias("parts"))
+    parted = members.join(size, "rep").select("rep", "record", "parts", F.pmod(F.xxhash64("record"), F.col("parts")).cast("int").alias("part"))
+    parts = lambda rep: size.select(F.col("rep").alias(rep), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"part_{rep}"))
+    side = lambda rep, as_: parted.select(F.col("rep").alias(rep), F.col("part").alias(f"part_{rep}"), F.col("record").alias(as_))
+    far = pairs.join(parts("a"), "a").join(parts("b"), "b").join(side("a", "x"), ["a", "part_a"]).join(side("b", "y"), ["b", "part_b"])
+    whole = parted.select(F.col("rep").alias("a"), F.col("record").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_b"))
+    same = whole.join(parted.select(F.col("rep").alias("a"), F.col("part").alias("part_b"), F.col("record").alias("y")), ["a", "part_b"]).where("x < y")
     return far.select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b")).unionByName(same.select(F.col("x").alias("record_a"), F.col("y").alias("record_b")))
 
 

@@ -107,9 +107,14 @@ def document_ids(documents: DataFrame) -> DataFrame:
     return encode_texts(documents.select("doc_id", "text"))
 
 
-def round_trip(documents: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, same of each document: whether its ids decode to its text again."""
-    ids = document_ids(documents)
-    back = decode_ids(ids.withColumn("n_tokens", F.size("ids")))
-    same = back.join(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("was")), "doc_id")
-    return same.select("doc_id", "n_tokens", (F.col("text") == F.col("was")).alias("same"))
+def round_trip(documents: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """doc_id, n_tokens, same of each document: whether its ids decode to its text again; both ways in one pass."""
+
+    def run(batches):
+        for b in batches:
+            texts = [x.as_py() or "" for x in b.column("text")]
+            ids = [encode(x, ranks) for x in texts]
+            same = [decode(i, ranks) == x.encode("utf-8") for i, x in zip(ids, texts)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(i) for i in ids], pa.int32()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "same"])
+
+    return fan_out(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens int, same boolean")
