@@ -75,14 +75,17 @@ def shape_scores(parts: DataFrame, aff: DataFrame) -> DataFrame:
 
 
 def clusters(lv: DataFrame, aff: DataFrame) -> DataFrame:
-    """dir, label, leaf_no, threshold of the accepted clusters of each directory's best threshold (the lowest on a tie), null where k-means found them."""
+    """dir, label, leaf_no, threshold of the accepted clusters of each directory's best threshold (the lowest on a tie)."""
     parts = cut(partitions(lv, aff))
     best = shape_scores(parts, aff).groupBy("dir").agg(F.max(F.struct("score", (-F.col("threshold")).alias("t"))).alias("b")).where("b.score > 0").select("dir", (-F.col("b.t")).alias("threshold"))
     mine = parts.join(best, ["dir", "threshold"])
     sizes = mine.groupBy("dir", "label").agg(F.count("*").alias("size")).where(F.col("size").between(LEAST, MOST)).select("dir", "label")
-    fine = mine.join(sizes, ["dir", "label"]).select("dir", "label", "leaf_no", "threshold")
-    # larger directories have no threshold; k-means parts them
-    return fine.unionByName(coarse_clusters(lv).withColumn("threshold", F.lit(None).cast("double")))
+    return mine.join(sizes, ["dir", "label"]).select("dir", "label", "leaf_no", "threshold")
+
+
+def detect(lv: DataFrame, aff: DataFrame) -> DataFrame:
+    """``clusters`` of the smaller directories and those that k-means finds in the larger ones, which have no threshold."""
+    return clusters(lv, aff).unionByName(coarse_clusters(lv).withColumn("threshold", F.lit(None).cast("double")))
 
 
 def cluster_affinity(cl: DataFrame, aff: DataFrame) -> DataFrame:
@@ -262,6 +265,7 @@ def queries() -> dict:
         "q_cluster_affinity": lambda s, d: (lambda lv, aff, cl: cluster_affinity(cl, aff))(*both(s, d)),
         "q_slug": lambda s, d: (lambda lv, aff, cl: slugs(lv, cl))(*both(s, d)),
         "q_purpose": lambda s, d: (lambda lv, aff, cl: purposes(lv, cl))(*both(s, d)),
+        "q_detect_clusters": lambda s, d: (lambda lv, aff: detect(lv, cut(aff)))(*given(s, d)),
         "q_kmeans": lambda s, d: coarse_clusters(leaves(s, d)),
         "q_cluster_dedup": dedup,
     }

@@ -98,7 +98,7 @@ def converge(lv: DataFrame, pg: DataFrame, vectors: DataFrame, probes: DataFrame
             continue
         open_ = now if pinned is None else now.join(pinned, "wiki_id", "left_anti")
         aff = fresh(affinity(open_, vectors))
-        cl = fresh(cluster.clusters(open_, aff))
+        cl = fresh(cluster.detect(open_, aff))
         if cl.isEmpty():
             break
         after = fresh(moved(open_, nest_targets(open_, cl)))
@@ -211,7 +211,7 @@ def queries() -> dict:
         "q_descend": lambda s, d: descend(table(s, d, "documents")),
         "q_shape_check": lambda s, d: shape_check(leaves(s, d), table(s, d, "documents")),
         "q_greedy_disjoint": lambda s, d: greedy_disjoint(proposals(s, d)).select("dir", "proposal", F.array_join(F.transform("members", lambda x: x.cast("string")), " ").alias("members")),
-        "q_nest_apply": lambda s, d: (lambda lv: nest_targets(lv, cluster.clusters(lv, cut(affinity(lv, bound_vectors(lv, table(s, d, "embeddings")))))))(leaves(s, d)),
+        "q_nest_apply": lambda s, d: (lambda lv: nest_targets(lv, cluster.detect(lv, cut(affinity(lv, bound_vectors(lv, table(s, d, "embeddings")))))))(leaves(s, d)),
         "q_balance": lambda s, d: balance(leaves(s, d)),
         "q_convergence": converged,
         "q_root_containment": lambda s, d: contain_roots(leaves(s, d).withColumn("parent_dir", F.when(F.col("type") == "overlay", "").otherwise(F.col("parent_dir"))).withColumn("dir", F.concat_ws("/", "wiki_id", "parent_dir"))),
