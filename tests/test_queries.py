@@ -8,6 +8,8 @@ from oracle import compare, connect
 from thicket.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
+#: Queries that these small tables give no row for; their operators are tested on made-up rows.
+EMPTY = {"q_kmeans", "q_soft_entries"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
@@ -23,7 +25,8 @@ def test_same_as_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, FOLDER).count() >= 0
+    rows = catalog.QUERIES[name](spark, FOLDER).count()
+    assert (rows == 0) == (name in EMPTY)
 
 
 def test_every_sql_has_a_query():
