@@ -102,3 +102,23 @@ def test_a_slug_without_a_free_name_is_an_error(spark):
     assert [tuple(r) for r in resolve_slugs(wanted, taken).collect()] == [("w", "x", "x-group-3")]
     with pytest.raises(Exception, match="no free name for x"):
         resolve_slugs(wanted, taken, most=2).collect()
+
+
+def test_routing_reads_the_root_and_what_pages_list(spark):
+    from thicket.operators import routing
+
+    kind = "wiki_id string, parent_dir string, dir string, focus string, shared_covers array<string>, entries array<struct<id:string,file:string,type:string,focus:string,tags:array<string>>>"
+    deep = "/".join("abcdefghijk")
+    pg = spark.createDataFrame(
+        [
+            ("w", "", "w/", "nothing of it", None, [("x", "x/index.md", "index", "all about vaults", None), ("y", "y/index.md", "index", "other", ["Storage"]), ("z", "z/index.md", "index", "other", None)]),
+            ("w", "x", "w/x", "plain", None, None), ("w", "y", "w/y", None, None, None), ("w", "z", "w/z", None, ["a vault for keys"], None), ("w", "u", "w/u", "unlisted", None, None),
+            ("w", "u/v", "w/u/v", "vault", None, None), ("w", deep, "w/" + deep, "vault", None, None),
+        ],
+        kind,
+    )
+    q = routing.probes(spark, [("one", ["vault"], ["storage"])])
+    assert {r["parent_dir"] for r in routing.page_visits(pg, q).collect()} == {"", "x", "y", "z"}
+    lv = spark.createDataFrame([(1, "w", "w/x", "Vault door", None, 10), (2, "w", "w/x", "door", None, 10), (3, "w", "w/u/v", "vault", None, 10), (4, "w", "w/", "any", ["STORAGE"], 7)], "leaf_no long, wiki_id string, dir string, focus string, tags array<string>, size_bytes long")
+    got = {(r["kind"], r["node"]) for r in routing.visits(lv, pg, q).collect()}
+    assert {n for k, n in got if k == "leaf"} == {"1", "4"} and len(got) == 6

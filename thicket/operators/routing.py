@@ -1,9 +1,10 @@
 """What a query reads on its way down a tree, and what that costs.
 
 A query has keywords and tags. An entry matches if a tag is equal (in any letter case) or its focus
-holds a keyword anywhere, so ``log`` finds ``catalog``; an index page also by its shared covers. A
-page is read if it and all pages above it match; directories without a page let every query pass. A
-leaf is read if it matches and its page is read.
+holds a keyword anywhere, so ``log`` finds ``catalog``. A page matches by what the page above lists of it
+or by its own focus and shared covers; that of the root always does. A page is read if it and all
+pages above it match and it lies at most ``DEEPEST`` directories down; directories without a page let
+every query pass. A leaf is read if it matches and its page is read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ PROBES = (
 )
 #: Bytes that an index page counts for: a base and so much for each entry.
 PAGE_BASE, PAGE_ENTRY = 256, 64
+#: Directories below the root down to which pages are read.
+DEEPEST = 10
 #: A rewrite by likeness must lower the cost by more than EPSILON; one by judgement may raise it so far.
 EPSILON, TOLERANCE = 1e-9, 1.05
 
@@ -51,12 +54,17 @@ def page_visits(pg: DataFrame, q: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     size = PAGE_BASE + PAGE_ENTRY * F.greatest(F.size(F.coalesce("entries", F.array().cast(pg.schema["entries"].dataType))), F.lit(0))
     hit = pg.select("wiki_id", "parent_dir", "dir", "focus", "shared_covers", size.cast("long").alias("bytes")).join(F.broadcast(q))
-    hit = hit.withColumn("hit", matches(F.col("focus"), none, F.col("shared_covers"))).drop("focus", "shared_covers", "keywords", "qtags")
+    hit = hit.withColumn("hit", (F.col("parent_dir") == "") | matches(F.col("focus"), none, F.col("shared_covers"))).drop("focus", "shared_covers", "keywords", "qtags")
+    # what pages list of the pages below them
+    below = F.concat_ws("/", F.nullif("parent_dir", F.lit("")), F.regexp_replace("e.file", r"/?index\.md\z", ""))
+    listed = pg.select("wiki_id", "parent_dir", F.explode("entries").alias("e")).where("e.type = 'index' AND e.file IS NOT NULL").select("wiki_id", below.alias("parent_dir"), "e.focus", "e.tags")
+    listed = listed.join(F.broadcast(q)).where(matches(F.col("focus"), F.col("tags"))).select("query", "wiki_id", "parent_dir").distinct().withColumn("listed", F.lit(True))
+    hit = hit.join(listed, ["query", "wiki_id", "parent_dir"], "left").withColumn("hit", F.col("hit") | F.coalesce("listed", F.lit(False))).drop("listed")
     # pages above: one row for each proper prefix of the path that has a page
     parts = F.split("parent_dir", "/")
     above = hit.where("hit AND parent_dir <> ''").select("query", "wiki_id", "dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("up"))
     shut = above.join(hit.where("NOT hit").select("query", "wiki_id", F.col("parent_dir").alias("up")), ["query", "wiki_id", "up"], "left_semi").select("query", "dir").distinct()
-    return hit.where("hit").join(shut, ["query", "dir"], "left_anti").select("query", "wiki_id", "parent_dir", "dir", "bytes")
+    return hit.where(F.col("hit") & (F.size(parts) <= DEEPEST)).join(shut, ["query", "dir"], "left_anti").select("query", "wiki_id", "parent_dir", "dir", "bytes")
 
 
 def visits(lv: DataFrame, pg: DataFrame, q: DataFrame) -> DataFrame:
@@ -106,9 +114,12 @@ _LOW = "list_transform(list_filter(coalesce({}, []), lambda x: x IS NOT NULL), l
 _KEY = "len(list_filter(keywords, lambda k: contains(lower(coalesce(focus, '')), k))) > 0"
 _BASE = f"""WITH {LEAVES_SQL}, {PAGES_SQL}, {_PROBES},
 lm AS (SELECT query, e.* FROM ent e, probe WHERE list_has_any({_LOW.format('tags')}, qtags) OR {_KEY}),
+rc AS (SELECT DISTINCT query, wiki_id, child AS parent_dir, TRUE AS listed FROM (SELECT wiki_id, concat_ws('/', nullif(parent_dir, ''), regexp_replace(e.file, '/?index\\.md\\z', '')) AS child, e.focus AS focus, e.tags AS tags
+  FROM (SELECT wiki_id, parent_dir, unnest(entries) AS e FROM page) WHERE e.type = 'index' AND e.file IS NOT NULL), probe WHERE list_has_any({_LOW.format('tags')}, qtags) OR {_KEY}),
 pm AS (SELECT query, wiki_id, parent_dir, dir, {PAGE_BASE} + {PAGE_ENTRY} * len(coalesce(entries, [])) AS bytes,
-  {_KEY} OR len(list_filter({_LOW.format('shared_covers')}, lambda c: len(list_filter(keywords, lambda k: contains(c, k))) > 0)) > 0 AS hit FROM page, probe),
-pv AS (SELECT query, wiki_id, parent_dir, dir, bytes FROM pm p WHERE hit AND NOT EXISTS (SELECT 1 FROM pm u WHERE u.query = p.query AND u.wiki_id = p.wiki_id AND NOT u.hit
+  parent_dir = '' OR coalesce(listed, FALSE) OR {_KEY} OR len(list_filter({_LOW.format('shared_covers')}, lambda c: len(list_filter(keywords, lambda k: contains(c, k))) > 0)) > 0 AS hit
+  FROM (SELECT * FROM page, probe) LEFT JOIN rc USING (query, wiki_id, parent_dir)),
+pv AS (SELECT query, wiki_id, parent_dir, dir, bytes FROM pm p WHERE hit AND len(string_split(parent_dir, '/')) <= {DEEPEST} AND NOT EXISTS (SELECT 1 FROM pm u WHERE u.query = p.query AND u.wiki_id = p.wiki_id AND NOT u.hit
   AND u.parent_dir <> p.parent_dir AND (u.parent_dir = '' OR starts_with(p.parent_dir, u.parent_dir || '/')))),
 vis AS (SELECT query, wiki_id, 'index' AS kind, dir AS node, bytes::BIGINT AS bytes FROM pv
   UNION ALL SELECT l.query, l.wiki_id, 'leaf', l.leaf_no::VARCHAR, coalesce(size_bytes, 0) FROM lm l SEMI JOIN pv ON pv.query = l.query AND pv.dir = l.dir),
