@@ -74,3 +74,9 @@ def test_hot_target(spark):
 def test_entries_without_an_id_are_live_whatever_was_removed(spark):
     t = tables(spark, [row(1, "w", None, links=["nowhere"]), row(2, "w", None, aliases=["by-alias"]), row(3, "w", "x", links=["by-alias"])], gone=[("w", None, D(9), None), ("w", "x.md", D(1), None)])
     assert found(orphans(*t)) == {(1, "links", "nowhere"), (2, "aliases", "by-alias")}
+
+
+def test_a_target_that_was_there_before_is_not_late(spark):
+    """The target's counting row came in after the reference, but an older row of it before."""
+    t = tables(spark, [row(1, "w", "a", links=["b", "c"], loaded=5), row(2, "w", "B", at=1, loaded=2), row(2, "w", "b", at=3, loaded=9), row(3, "w", "c", loaded=9)])
+    assert [(r["field"], r["state"], r["references"]) for r in orphan_report(*t).collect()] == [("links", "late", 1)]

@@ -48,14 +48,26 @@ def _refs(live: DataFrame) -> DataFrame:
     return refs.withColumn("key", _key(kind, F.col("wiki_id"), F.col("_form"))).drop("wiki_id", "_form")
 
 
-def _parents(live: DataFrame, index_page: DataFrame, removal: DataFrame) -> DataFrame:
-    """key, since: every key that answers a reference, with the time it first came in."""
-    ids = live.select(F.col("_id").alias("key"), F.col("loaded_at").alias("since"))
-    alias = live.select("wiki_id", "loaded_at", F.explode("aliases").alias("a"))
-    alias = alias.select(_key(F.lit("id"), F.col("wiki_id"), reference_form(F.col("a"))).alias("key"), F.col("loaded_at").alias("since"))
+def _first_given(leaf: DataFrame) -> DataFrame:
+    """leaf_no, key, first: when each leaf was first delivered with an id or alias, whichever of its rows counts."""
+    form = lambda x: _key(F.lit("id"), F.col("wiki_id"), reference_form(x))
+    keys = F.concat(F.array(form(F.col("id"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), form))
+    given = leaf.select("leaf_no", "loaded_at", F.explode(keys).alias("key")).where("leaf_no IS NOT NULL AND key IS NOT NULL")
+    return given.groupBy("leaf_no", "key").agg(F.min("loaded_at").alias("first"))
+
+
+def _parents(live: DataFrame, index_page: DataFrame, removal: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """key, since: every key that answers a reference, with the time it first came in (with ``first``, by any row of its leaf)."""
+    ids = live.select("leaf_no", F.col("_id").alias("key"), F.col("loaded_at").alias("since"))
+    alias = live.select("leaf_no", "wiki_id", "loaded_at", F.explode("aliases").alias("a"))
+    alias = alias.select("leaf_no", _key(F.lit("id"), F.col("wiki_id"), reference_form(F.col("a"))).alias("key"), F.col("loaded_at").alias("since"))
+    own = ids.unionByName(alias)
+    if first is not None:
+        own = own.join(first, ["leaf_no", "key"], "left").withColumn("since", F.coalesce("first", "since"))
+    own = own.select("key", "since")
     pages = index_page.select(_key(F.lit("id"), F.col("wiki_id"), reference_form(F.col("id"))).alias("key"), F.col("updated_at").alias("since"))
     retired = removal.select(_key(F.lit("retired"), F.col("wiki_id"), reference_form(F.col("id"))).alias("key"), F.col("removed_at").alias("since"))
-    return ids.unionByName(alias).unionByName(pages).unionByName(retired).where("key IS NOT NULL").groupBy("key").agg(F.min("since").alias("since"))
+    return own.unionByName(pages).unionByName(retired).where("key IS NOT NULL").groupBy("key").agg(F.min("since").alias("since"))
 
 
 def _orphan_keys(refs: DataFrame, parents: DataFrame) -> DataFrame:
@@ -74,12 +86,12 @@ def orphan_report(leaf: DataFrame, index_page: DataFrame, removal: DataFrame) ->
     """field, month, state, references, leaves: references per field, month of ``updated_at`` and state.
 
     ``state`` is ``missing`` (nothing answers and nothing was retired), ``removed`` (nothing
-    answers, but the target is a retired id) or ``late`` (what answers came in after the
-    reference did). References that are answered in time aren't reported.
+    answers, but the target is a retired id) or ``late`` (what answers was first delivered after the
+    reference's row came in). References that are answered in time aren't reported.
     """
     live = cut(live_leaves(leaf, removal))
     refs = _refs(live)
-    parents = _parents(live, index_page, removal)
+    parents = _parents(live, index_page, removal, _first_given(leaf))
     retired = removal.select(_key(F.lit("id"), F.col("wiki_id"), reference_form(F.col("id"))).alias("key")).distinct().withColumn("retired", F.lit(True))
     known = refs.select("key").distinct().join(parents, "key", "left").join(retired, "key", "left")
     known = known.withColumn("answered", F.col("since").isNotNull())
@@ -102,10 +114,13 @@ raw AS (SELECT leaf_no, wiki_id, updated_at, loaded_at, 'links' AS field, unnest
   UNION ALL SELECT leaf_no, wiki_id, updated_at, loaded_at, 'overlay_targets', unnest(overlay_targets) FROM live
   UNION ALL SELECT leaf_no, wiki_id, updated_at, loaded_at, 'aliases', unnest(aliases) FROM live),
 refs AS (SELECT DISTINCT *, {_R('target')} AS form FROM raw WHERE {_R('target')} <> ''),
-ali AS (SELECT wiki_id, loaded_at, unnest(aliases) AS a FROM live),
-answers AS (SELECT 'id' AS kind, wiki_id, form, loaded_at AS since FROM live
+ali AS (SELECT leaf_no, wiki_id, unnest(aliases) AS a FROM live),
+given AS (SELECT leaf_no, wiki_id, {_R('id')} AS form, loaded_at FROM leaf
+  UNION ALL SELECT leaf_no, wiki_id, {_R('a')}, loaded_at FROM (SELECT leaf_no, wiki_id, loaded_at, unnest(aliases) AS a FROM leaf)),
+first AS (SELECT leaf_no, coalesce(wiki_id, '?') AS wiki, form, min(loaded_at) AS since FROM given GROUP BY ALL),
+own AS (SELECT leaf_no, wiki_id, form FROM live UNION SELECT leaf_no, wiki_id, {_R('a')} FROM ali),
+answers AS (SELECT 'id' AS kind, wiki_id, own.form, since FROM own JOIN first ON first.leaf_no = own.leaf_no AND first.wiki = coalesce(own.wiki_id, '?') AND first.form = own.form
   UNION ALL SELECT 'id', wiki_id, {_R('id')}, updated_at FROM index_page
-  UNION ALL SELECT 'id', wiki_id, {_R('a')}, loaded_at FROM ali
   UNION ALL SELECT 'retired', wiki_id, {_R('id')}, removed_at FROM leaf_removal),
 parents AS (SELECT kind, coalesce(wiki_id, '?') AS wiki, form, min(since) AS since FROM answers GROUP BY ALL),
 judged AS (SELECT r.*, p.form IS NOT NULL AS answered, p.since FROM refs r LEFT JOIN parents p
