@@ -7,10 +7,13 @@ size is spread over tasks.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from thicket.functions.text import jaccard, relative_path, titleize
-from thicket.sources.entries import LEAVES_SQL, PAGES_SQL, leaves, pages
+from thicket.plans.scale import cut
+from thicket.sources.entries import LEAVES_SQL, PAGES_SQL, TEXTS, leaves, pages
 
 #: Target fanout of a directory and the factor beyond which it is overfull; greatest depth.
 TARGET_FANOUT, OVERFULL, MAX_DEPTH = 20, 1.5, 2
@@ -18,6 +21,8 @@ TARGET_FANOUT, OVERFULL, MAX_DEPTH = 20, 1.5, 2
 DECOMPOSE, MERGE_COVERS = 12, 0.7
 #: Soft parents: least cosine and how many.
 SOFT_LEAST, SOFT_MOST = 0.35, 3
+#: Leaves of a block, leaves below the categories of a block, and products worked out at a time; these bound memory and change no result.
+SOFT_LEAVES, SOFT_BELOW, SOFT_WORK = 20_000, 150_000, 2_000_000
 
 
 def directories(lv: DataFrame) -> DataFrame:
@@ -149,38 +154,116 @@ def merge_rows(lv: DataFrame) -> DataFrame:
     return p.select(F.col("k.leaf_no").alias("keeper"), F.col("x.leaf_no").alias("absorbed"), both("covers").alias("covers"), both("tags").alias("tags"), F.col("x.id").alias("alias"))
 
 
+def _counted(rows: np.ndarray, terms: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, term and how often it is there, in order of the rows."""
+    key, n = np.unique(rows * width + terms, return_counts=True)
+    return key // width, key % width, n.astype(np.float64)
+
+
+def _soft_block(t: pa.Table) -> pa.Table:
+    """leaf_no, dir, category, cosine of the ``SOFT_MOST`` categories of this block that are most like each of its leaves."""
+    t = t.combine_chunks()
+    kind = t["kind"].to_numpy()
+    none = pa.table({"leaf_no": pa.array([], pa.int64()), "dir": pa.array([], pa.string()), "category": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
+    if not (kind == 0).any() or not (kind == 1).any():
+        return none
+
+    def part(k: int):
+        x = t.filter(pa.array(kind == k)).combine_chunks()
+        lists = x["terms"].combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        return x, np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+
+    (leaf, lrow, lterm), (cat, crow, cterm), (known, drow, names) = part(0), part(1), part(2)
+    counts = known["counts"].combine_chunks()
+    df = (counts.combine_chunks() if isinstance(counts, pa.ChunkedArray) else counts).flatten().to_numpy()
+    order = np.argsort(names)
+    names, idf = names[order], np.log((1 + known["id"].to_numpy()[drow[order]]) / (1 + df[order])) + 1
+    # categories by name, so that the smaller number is the smaller name
+    title = np.array(cat["name"].to_pylist(), dtype=object)
+    by_name = np.argsort(title, kind="stable")
+    place = np.empty(len(title), np.int64)
+    place[by_name] = np.arange(len(title))
+    title, home = title[by_name], cat["id"].to_numpy()[by_name]
+
+    def weighed(row, term, n):
+        row, term, w = _counted(row, np.searchsorted(names, term), len(names))
+        w *= idf[term]
+        return row, term, w / np.sqrt(np.bincount(row, w * w, n))[row]
+
+    lrow, lterm, lw = weighed(lrow, lterm, len(leaf))
+    crow, cterm, cw = weighed(place[crow], cterm, len(title))
+    order = np.argsort(cterm, kind="stable")
+    crow, cw = crow[order], cw[order]
+    start = np.searchsorted(cterm[order], np.arange(len(names) + 1))
+    many = np.diff(start)[lterm]
+    bounds, work = np.searchsorted(lrow, np.arange(len(leaf) + 1)), np.concatenate([[0], np.cumsum(many)])
+    own, found = leaf["home"].to_numpy(), []
+    at = 0
+    while at < len(leaf):
+        to = int(np.searchsorted(work[bounds], work[bounds[at]] + SOFT_WORK, side="right")) - 1
+        to = min(len(leaf), max(at + 1, min(to, at + SOFT_WORK // len(title))))
+        x = slice(bounds[at], bounds[to])
+        n = many[x]
+        go = np.repeat(start[lterm[x]] - (work[x] - work[x.start]), n) + np.arange(n.sum())
+        key = np.repeat((lrow[x] - at) * len(title), n) + crow[go]
+        score = np.round(np.bincount(key, np.repeat(lw[x], n) * cw[go], (to - at) * len(title)), 6)
+        hit = np.flatnonzero(score >= SOFT_LEAST)
+        row, c = hit // len(title) + at, hit % len(title)
+        other = own[row] != home[c]
+        row, c, score = row[other], c[other], score[hit][other]
+        order = np.lexsort((c, -score, row))
+        row, c, score = row[order], c[order], score[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < SOFT_MOST
+        found.append((row[keep], c[keep], score[keep]))
+        at = to
+    row, c, score = (np.concatenate(x) for x in zip(*found))
+    mine = leaf.select(["id", "name"]).take(pa.array(row))
+    return pa.table({"leaf_no": mine["id"], "dir": mine["name"], "category": pa.array(title[c].tolist(), pa.string()), "cosine": pa.array(score, pa.float64())})
+
+
 def category_scores(lv: DataFrame, pg: DataFrame) -> DataFrame:
-    """leaf_no, category, cosine of leaves and the texts of other directories of their wiki.
+    """leaf_no, dir, category, cosine of leaves and the texts of other directories of their wiki, as far as these can be soft parents.
 
     One idf per wiki over leaves and categories; a category's text is its page's, and that of its
-    direct leaves. Only pairs with a common term meet.
+    direct leaves. Leaves and categories of a wiki are compared in blocks of bounded size, and of each
+    block only the ``SOFT_MOST`` best categories of a leaf that reach ``SOFT_LEAST`` leave its task:
+    what leaves and categories have in common term by term is never written.
     """
     from thicket.functions.text import entry_text, tokenize
 
-    leaf = lv.select(F.col("wiki_id").alias("dir"), F.concat(F.lit("L"), F.col("leaf_no").cast("string")).alias("key"), F.col("dir").alias("home"), "tokens")
-    page = pg.select("dir", tokenize(entry_text(F.col("focus"), F.col("shared_covers"))).alias("tokens"))
-    cat_terms = pg.select("wiki_id", "dir").join(lv.select("dir", F.explode("tokens").alias("term")), "dir").unionByName(
-        pg.select("wiki_id", "dir").join(page.select("dir", F.explode("tokens").alias("term")), "dir")
-    )
-    tf = leaf.select("dir", "key", F.explode("tokens").alias("term")).unionByName(cat_terms.select(F.col("wiki_id").alias("dir"), F.concat(F.lit("C"), F.col("dir")).alias("key"), "term"))
-    tf = tf.groupBy("dir", "key", "term").agg(F.count("*").alias("tf"))
-    n = leaf.select("dir", "key").unionByName(pg.select(F.col("wiki_id").alias("dir"), F.concat(F.lit("C"), F.col("dir")).alias("key"))).groupBy("dir").agg(F.count("*").alias("n"))
-    df = tf.groupBy("dir", "term").agg(F.count("*").alias("df")).join(n, "dir")
-    w = tf.join(df, ["dir", "term"]).select("dir", "key", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = w.groupBy("dir", "key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    u = w.join(norm, ["dir", "key"]).select("dir", "key", "term", (F.col("w") / F.col("norm")).alias("w"))
-    a = u.where("key LIKE 'L%'").select("dir", "term", F.substring("key", 2, 30).cast("long").alias("leaf_no"), F.col("w").alias("wa"))
-    b = u.where("key LIKE 'C%'").select("dir", "term", F.expr("substring(key, 2)").alias("category"), F.col("w").alias("wb"))
-    s = a.join(b, ["dir", "term"]).groupBy("leaf_no", "category").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("cosine"))
-    return s.join(lv.select("leaf_no", F.col("dir").alias("home")), "leaf_no").where("category <> home").drop("home")
+    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    slim = cut(lv.where("wiki_id IS NOT NULL").select("wiki_id", "leaf_no", "dir", F.xxhash64("dir").alias("home"), hashed(F.col("tokens")).alias("terms")))
+    page = pg.where("wiki_id IS NOT NULL").select("wiki_id", F.xxhash64("dir").alias("home"), "dir", hashed(tokenize(entry_text(F.col("focus"), F.col("shared_covers")))).alias("terms"))
+    both = slim.select("wiki_id", "home", F.lit(None).cast("string").alias("dir"), "terms").unionByName(page)
+    cats = both.groupBy("wiki_id", "home").agg(
+        F.max("dir").alias("name"), F.count("dir").cast("int").alias("pages"),
+        F.flatten(F.collect_list(F.when(F.col("dir").isNull(), F.col("terms")))).alias("below"), F.flatten(F.collect_list(F.when(F.col("dir").isNotNull(), F.col("terms")))).alias("own"),
+    ).where("pages > 0")
+    below = F.when(F.col("pages") == 1, F.col("below")).otherwise(F.flatten(F.array_repeat("below", F.col("pages"))))
+    cats = cut(cats.select("wiki_id", "home", "name", "pages", F.concat(below, "own").alias("terms")))
+    # blocks of a wiki: leaves by number, categories by directory
+    sizes = slim.groupBy("wiki_id").agg(F.count("*").alias("leaves")).join(cats.groupBy("wiki_id").agg(F.sum("pages").alias("pages")), "wiki_id")
+    sizes = cut(sizes.select("wiki_id", (F.col("leaves") + F.col("pages")).alias("n"), F.ceil(F.col("leaves") / SOFT_LEAVES).cast("int").alias("ls"), F.ceil(F.col("leaves") / SOFT_BELOW).cast("int").alias("cs")))
+    held = slim.select("wiki_id", F.explode(F.array_distinct("terms")).alias("t")).unionByName(cats.select("wiki_id", F.explode(F.array_distinct("terms")).alias("t")))
+    df = held.groupBy("wiki_id", "t").agg(F.count("*").alias("df"))
+    df = df.groupBy("wiki_id", F.pmod("t", F.lit(64)).alias("slice")).agg(F.collect_list(F.struct("t", "df")).alias("x"))
+    df = df.select("wiki_id", F.transform("x", lambda x: x["t"]).alias("terms"), F.transform("x", lambda x: x["df"]).alias("counts"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    nothing = F.lit(None).cast("array<bigint>").alias("counts")
+    leaf = slim.where(F.size("terms") > 0).join(sizes, "wiki_id").select("wiki_id", F.pmod(F.xxhash64("leaf_no"), "ls").cast("int").alias("l"), every("cs").alias("c"), F.lit(0).alias("kind"), F.col("leaf_no").alias("id"), "home", F.col("dir").alias("name"), "terms", nothing)
+    cat = cats.where(F.size("terms") > 0).join(sizes, "wiki_id").select("wiki_id", every("ls").alias("l"), F.pmod("home", "cs").cast("int").alias("c"), F.lit(1).alias("kind"), F.col("home").alias("id"), "home", "name", "terms", nothing)
+    known = df.join(sizes, "wiki_id").withColumn("l", every("ls")).select("wiki_id", "l", every("cs").alias("c"), F.lit(2).alias("kind"), F.col("n").alias("id"), F.lit(0).cast("long").alias("home"), F.lit(None).cast("string").alias("name"), "terms", "counts")
+    return leaf.unionByName(cat).unionByName(known).groupBy("wiki_id", "l", "c").applyInArrow(_soft_block, "leaf_no long, dir string, category string, cosine double")
 
 
 def soft_parents(lv: DataFrame, pg: DataFrame) -> DataFrame:
     """leaf_no, category, cosine, rank, parent: the other directories that a leaf belongs to as well."""
     rank = F.row_number().over(Window.partitionBy("leaf_no").orderBy(F.desc("cosine"), "category"))
-    top = category_scores(lv, pg).where(F.col("cosine") >= SOFT_LEAST).withColumn("rank", rank).where(F.col("rank") <= SOFT_MOST)
+    top = category_scores(lv, pg).withColumn("rank", rank).where(F.col("rank") <= SOFT_MOST)
     rel = F.concat_ws("/", F.nullif(relative_path(F.col("dir"), F.col("category")), F.lit("")), F.lit("index.md"))
-    return top.join(lv.select("leaf_no", "dir"), "leaf_no").select("leaf_no", "category", "cosine", "rank", rel.alias("parent"))
+    return top.select("leaf_no", "category", "cosine", "rank", rel.alias("parent"))
 
 
 def soft_entries(lv: DataFrame, pg: DataFrame) -> DataFrame:
@@ -271,11 +354,12 @@ SQL["q_soft_parents"] = _SOFT.replace("{tokens}", TOKENS.format(STRIP.format("co
 def queries() -> dict:
     lv = lambda fn: lambda s, d: fn(leaves(s, d))
     both = lambda fn: lambda s, d: fn(leaves(s, d), pages(s, d))
+    texts = lambda fn: lambda s, d: fn(leaves(s, d, TEXTS), pages(s, d))
     return {
         "q_index_entries": lv(index_entries), "q_children": lambda s, d: children(pages(s, d)), "q_rebuild_index": both(rebuilt_index), "q_stubs": both(stubs),
         "q_shared_covers": lv(lambda x: shared(x, "covers")), "q_stub_tags": lv(lambda x: shared(x, "tags", 1)),
         "q_fanout": lv(fanout), "q_fanout_stats": lv(fanout_stats), "q_depth": lv(lambda x: directories(x).select("wiki_id", "path", "depth")), "q_passthrough": lv(passthroughs),
         "q_lift": lv(lift), "q_flatten": lv(flatten), "q_decompose": lv(decompose), "q_nest_hint": lv(nest_hints), "q_merge_pairs": lv(merge_pairs), "q_merge_rows": lv(merge_rows),
         "q_parent_rewrite": lv(parents_after_containment), "q_density": lv(density),
-        "q_soft_parents": both(lambda x, p: soft_parents(x, p).drop("parent")), "q_soft_links": both(soft_parents), "q_soft_entries": both(soft_entries),
+        "q_soft_parents": texts(lambda x, p: soft_parents(x, p).drop("parent")), "q_soft_links": texts(soft_parents), "q_soft_entries": both(soft_entries),
     }

@@ -20,10 +20,13 @@ SCHEMA = T.StructType([
 ])
 _LEAF = ("wiki_id", "id", "path", "parent_dir", "depth", "type", "depth_role", "focus", "covers", "tags", "domains", "aliases", "parents", "overlay_targets", "links", "activation", "source", "size_bytes", "line_count", "updated_at", "loaded_at")
 
+#: Columns of a leaf that its directory and text are made of; those of the whole row are far wider.
+TEXTS = ("wiki_id", "parent_dir", "focus", "covers", "tags", "domains", "updated_at", "loaded_at")
 
-def leaves(spark: SparkSession, folder: str) -> DataFrame:
-    """The counting row of each leaf with ``dir``, ``text`` and ``tokens``."""
-    cur = counting_rows(table(spark, folder, "leaf"), "leaf_no", *_LEAF)
+
+def leaves(spark: SparkSession, folder: str, columns: tuple[str, ...] = _LEAF) -> DataFrame:
+    """The counting row of each leaf, ``columns`` of it, with ``dir``, ``text`` and ``tokens``."""
+    cur = counting_rows(table(spark, folder, "leaf"), "leaf_no", *columns)
     cur = cur.withColumn("dir", F.concat_ws("/", "wiki_id", "parent_dir"))
     return cur.withColumn("text", entry_text(F.col("focus"), F.col("covers"), F.col("tags"), F.col("domains"))).withColumn("tokens", tokenize(F.col("text")))
 
