@@ -42,3 +42,10 @@ def test_ties_go_to_the_smaller_name(spark, monkeypatch, most):
     pg = spark.createDataFrame([("w", f"w/{d}", None, None) for d in "abcde"], PAGE)
     got = [(x["category"], x["rank"]) for x in tree.soft_parents(lv, pg).where("leaf_no = 1").orderBy("rank").collect()]
     assert got == [("w/b", 1), ("w/c", 2), ("w/d", 3)][:most]
+
+
+def test_only_the_best_leave_a_block(spark):
+    """However many categories a leaf is like, each of its blocks gives three at most."""
+    lv = spark.createDataFrame([("w", f"w/d{i}", i, ["one", "two"]) for i in range(30)], LEAF)
+    pg = spark.createDataFrame([("w", f"w/d{i}", None, None) for i in range(30)], PAGE)
+    assert tree.category_scores(lv, pg).count() == 30 * tree.SOFT_MOST
