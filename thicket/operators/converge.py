@@ -77,34 +77,51 @@ def absorb(lv: DataFrame, gone: DataFrame) -> DataFrame:
     return kept.withColumn("tokens", tokenize(F.col("text"))).select(*lv.columns)
 
 
+def _unseen(lv: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The leaves of directories that are not in ``seen`` (dir, n, mark) as they are now, and what to know as seen from here on.
+
+    A directory that a detector finds something in is changed by what is applied, or its wiki is left alone
+    for good; so one that is as it was when it was last looked at holds nothing.
+    """
+    marks = cut(lv.groupBy("dir").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("leaf_no", "text", "covers", "tags")).alias("mark")))
+    new = marks if seen is None else marks.join(seen, ["dir", "n", "mark"], "left_anti")
+    return lv.join(new.select("dir"), "dir", "left_semi"), marks
+
+
 def converge(lv: DataFrame, pg: DataFrame, vectors: DataFrame, probes: DataFrame, rounds: int = MOST_CONVERGENCE) -> tuple[DataFrame, list[tuple[int, str, int]]]:
     """The leaves at the fixed point, and round, operator, applied of every round.
 
     Lifting comes before merging, merging before nesting; a nest stays in the wikis whose routing
     cost it lowers.
     """
-    now, log, pinned = fresh(lv), [], None
+    now, log, pinned, merged, nested = fresh(lv), [], None, None, None
     for n in range(1, rounds + 1):
         up = cut(tree.lift(now).select("leaf_no", F.regexp_replace("new_path", r"/?[^/]*\z", "").alias("new_dir")))
         if k := up.count():
             now = fresh(moved(now, up))
             log.append((n, "LIFT", k))
             continue
-        pairs = tree.merge_rows(now).groupBy("absorbed").agg(F.min("keeper").alias("keeper"))
+        part, merged = _unseen(now, merged)
+        pairs = tree.merge_rows(part).groupBy("absorbed").agg(F.min("keeper").alias("keeper"))
         gone = cut(pairs.join(pairs.select(F.col("absorbed").alias("keeper")), "keeper", "left_anti"))
         if k := gone.count():
             now = fresh(absorb(now, gone))
             log.append((n, "MERGE", k))
             continue
         open_ = now if pinned is None else now.join(pinned, "wiki_id", "left_anti")
-        aff = fresh(affinity(open_, vectors))
-        cl = fresh(cluster.detect(open_, aff))
+        part, nested = _unseen(open_, nested)
+        part = fresh(part)
+        # pairs are clustered in directories of these sizes only
+        fit = part.groupBy("dir").agg(F.count("*").alias("k")).where(F.col("k").between(cluster.LEAST, cluster.COARSE)).select("dir")
+        aff = fresh(affinity(part.join(fit, "dir", "left_semi"), vectors))
+        cl = fresh(cluster.detect(part, aff))
         if cl.isEmpty():
             break
-        after = fresh(moved(open_, nest_targets(open_, cl)))
-        fine = routing.gate(routing.routing_cost(open_, pg, probes), routing.routing_cost(after, pg, probes)).where("by_likeness").select("wiki_id")
-        fine = cut(fine)
+        after = fresh(moved(open_, nest_targets(part, cl)))
         tried = cut(cl.select("dir").distinct().join(open_.select("dir", "wiki_id").distinct(), "dir").select("wiki_id").distinct())
+        of = lambda df: df.join(tried, "wiki_id", "left_semi")
+        fine = routing.gate(routing.routing_cost(of(open_), of(pg), probes), routing.routing_cost(of(after), of(pg), probes)).where("by_likeness").select("wiki_id")
+        fine = cut(fine)
         refused = tried.join(fine, "wiki_id", "left_anti")
         pinned = fresh(refused if pinned is None else pinned.unionByName(refused).distinct())
         kept = after.join(fine, "wiki_id", "left_semi")
