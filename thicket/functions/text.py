@@ -27,6 +27,10 @@ def tokenize(c: Column) -> Column:
     return F.filter(parts, lambda t: (F.length(t) >= 2) & ~t.isin(*STOPWORDS))
 
 
+def hashed(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
 def entry_text(focus: Column, *lists: Column) -> Column:
     """The compared text of an entry: focus twice, then every list; null and empty elements left out."""
     full = [F.array_join(F.filter(F.coalesce(x, F.array().cast("array<string>")), lambda e: e.isNotNull() & (e != "")), " ") for x in lists]

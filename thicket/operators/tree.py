@@ -7,13 +7,15 @@ size is spread over tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from thicket.functions.text import jaccard, relative_path, titleize
+from thicket.functions.text import hashed, jaccard, relative_path, titleize
 from thicket.plans.scale import cut
-from thicket.sources.entries import LEAVES_SQL, PAGES_SQL, TEXTS, leaves, pages
+from thicket.sources.entries import LEAVES_SQL, PAGES_SQL, leaf_terms, leaves, pages
 
 #: Target fanout of a directory and the factor beyond which it is overfull; greatest depth.
 TARGET_FANOUT, OVERFULL, MAX_DEPTH = 20, 1.5, 2
@@ -21,8 +23,10 @@ TARGET_FANOUT, OVERFULL, MAX_DEPTH = 20, 1.5, 2
 DECOMPOSE, MERGE_COVERS = 12, 0.7
 #: Soft parents: least cosine and how many.
 SOFT_LEAST, SOFT_MOST = 0.35, 3
-#: Leaves of a block, leaves below the categories of a block, and products worked out at a time; these bound memory and change no result.
-SOFT_LEAVES, SOFT_BELOW, SOFT_WORK = 20_000, 150_000, 2_000_000
+#: Leaves of a block and most blocks that the leaves of a wiki are parted into; these spread the work and change no result.
+SOFT_LEAVES, SOFT_PARTS = 20_000, 16
+#: Leaves below the categories of a block, its pages, and products worked out at a time; these bound memory and change no result.
+SOFT_BELOW, SOFT_PAGES, SOFT_WORK = 300_000, 100_000, 2_000_000
 
 
 def directories(lv: DataFrame) -> DataFrame:
@@ -154,108 +158,140 @@ def merge_rows(lv: DataFrame) -> DataFrame:
     return p.select(F.col("k.leaf_no").alias("keeper"), F.col("x.leaf_no").alias("absorbed"), both("covers").alias("covers"), both("tags").alias("tags"), F.col("x.id").alias("alias"))
 
 
-def _counted(rows: np.ndarray, terms: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """row, term and how often it is there, in order of the rows."""
-    key, n = np.unique(rows * width + terms, return_counts=True)
-    return key // width, key % width, n.astype(np.float64)
-
-
-def _soft_block(t: pa.Table) -> pa.Table:
-    """leaf_no, dir, category, cosine of the ``SOFT_MOST`` categories of this block that are most like each of its leaves."""
-    t = t.combine_chunks()
-    kind = t["kind"].to_numpy()
-    none = pa.table({"leaf_no": pa.array([], pa.int64()), "dir": pa.array([], pa.string()), "category": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
-    if not (kind == 0).any() or not (kind == 1).any():
-        return none
-
-    def part(k: int):
-        x = t.filter(pa.array(kind == k)).combine_chunks()
-        lists = x["terms"].combine_chunks()
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        return x, np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
-
-    (leaf, lrow, lterm), (cat, crow, cterm), (known, drow, names) = part(0), part(1), part(2)
-    counts = known["counts"].combine_chunks()
-    df = (counts.combine_chunks() if isinstance(counts, pa.ChunkedArray) else counts).flatten().to_numpy()
-    order = np.argsort(names)
-    names, idf = names[order], np.log((1 + known["id"].to_numpy()[drow[order]]) / (1 + df[order])) + 1
-    # categories by name, so that the smaller number is the smaller name
-    title = np.array(cat["name"].to_pylist(), dtype=object)
-    by_name = np.argsort(title, kind="stable")
-    place = np.empty(len(title), np.int64)
-    place[by_name] = np.arange(len(title))
-    title, home = title[by_name], cat["id"].to_numpy()[by_name]
-
-    def weighed(row, term, n):
-        row, term, w = _counted(row, np.searchsorted(names, term), len(names))
-        w *= idf[term]
-        return row, term, w / np.sqrt(np.bincount(row, w * w, n))[row]
-
-    lrow, lterm, lw = weighed(lrow, lterm, len(leaf))
-    crow, cterm, cw = weighed(place[crow], cterm, len(title))
-    order = np.argsort(cterm, kind="stable")
-    crow, cw = crow[order], cw[order]
-    start = np.searchsorted(cterm[order], np.arange(len(names) + 1))
-    many = np.diff(start)[lterm]
-    bounds, work = np.searchsorted(lrow, np.arange(len(leaf) + 1)), np.concatenate([[0], np.cumsum(many)])
-    own, found = leaf["home"].to_numpy(), []
-    at = 0
-    while at < len(leaf):
-        to = int(np.searchsorted(work[bounds], work[bounds[at]] + SOFT_WORK, side="right")) - 1
-        to = min(len(leaf), max(at + 1, min(to, at + SOFT_WORK // len(title))))
-        x = slice(bounds[at], bounds[to])
-        n = many[x]
-        go = np.repeat(start[lterm[x]] - (work[x] - work[x.start]), n) + np.arange(n.sum())
-        key = np.repeat((lrow[x] - at) * len(title), n) + crow[go]
-        score = np.round(np.bincount(key, np.repeat(lw[x], n) * cw[go], (to - at) * len(title)), 6)
-        hit = np.flatnonzero(score >= SOFT_LEAST)
-        row, c = hit // len(title) + at, hit % len(title)
-        other = own[row] != home[c]
-        row, c, score = row[other], c[other], score[hit][other]
-        order = np.lexsort((c, -score, row))
-        row, c, score = row[order], c[order], score[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = rank < SOFT_MOST
-        found.append((row[keep], c[keep], score[keep]))
-        at = to
-    row, c, score = (np.concatenate(x) for x in zip(*found))
-    mine = leaf.select(["id", "name"]).take(pa.array(row))
-    return pa.table({"leaf_no": mine["id"], "dir": mine["name"], "category": pa.array(title[c].tolist(), pa.string()), "cosine": pa.array(score, pa.float64())})
+def _counted(rows: np.ndarray, terms: np.ndarray, width: int, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, term and how often it is there (``n`` times each), in order of the rows."""
+    key = rows * max(width, 1) + terms
+    if n is None:
+        key, n = np.unique(key, return_counts=True)
+    else:
+        key, at = np.unique(key, return_inverse=True)
+        n = np.bincount(at, n, len(key))
+    return key // max(width, 1), key % max(width, 1), n.astype(np.float64)
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of lists and the row of each."""
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+
+
+def _category_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct terms of each category and how often they are there: those of its leaves once for each of its pages."""
+    for b in batches:
+        (brow, below), (orow, own) = _flat(b["below"]), _flat(b["own"])
+        names, at = np.unique(np.concatenate([below, own]), return_inverse=True)
+        times = np.concatenate([b["pages"].to_numpy()[brow], np.ones(len(own), np.int64)])
+        row, term, n = _counted(np.concatenate([brow, orow]), at, len(names), times)
+        bounds = pa.array(np.searchsorted(row, np.arange(len(b) + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int64())) for x in (names[term], n.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays([b["wiki_id"], b["home"], b["name"], *lists], ["wiki_id", "home", "name", "terms", "counts"])
+
+
+class _Categories:
+    """Some categories of a wiki by their terms, with what the wiki knows of all terms."""
+
+    def __init__(self, known: pa.Table, cat: pa.Table):
+        drow, names = _flat(known["terms"].combine_chunks())
+        order = np.argsort(names)
+        df = _flat(known["counts"].combine_chunks())[1]
+        self.names, self.idf = names[order], np.log((1 + known["id"].to_numpy()[drow[order]]) / (1 + df[order])) + 1
+        # categories by name, so that the smaller number is the smaller name
+        title = np.array(cat["name"].to_pylist(), dtype=object)
+        by_name = np.argsort(title, kind="stable")
+        place = np.empty(len(title), np.int64)
+        place[by_name] = np.arange(len(title))
+        self.title, self.home = title[by_name], cat["id"].to_numpy()[by_name]
+        row, term = _flat(cat["terms"].combine_chunks())
+        row, term, w = self.weighed(place[row], term, len(title), _flat(cat["counts"].combine_chunks())[1])
+        order = np.argsort(term, kind="stable")
+        self.row, self.w, self.start = row[order], w[order], np.searchsorted(term[order], np.arange(len(names) + 1))
+
+    def weighed(self, row, term, rows, n=None):
+        row, term, w = _counted(row, np.searchsorted(self.names, term), len(self.names), n)
+        w *= self.idf[term]
+        return row, term, w / np.sqrt(np.bincount(row, w * w, rows))[row]
+
+    def best(self, leaf: pa.RecordBatch) -> pa.RecordBatch:
+        """leaf_no, dir, category, cosine of the ``SOFT_MOST`` of these categories that are most like each leaf."""
+        title, start = self.title, self.start
+        lrow, lterm, lw = self.weighed(*_flat(leaf["terms"]), len(leaf))
+        many = np.diff(start)[lterm]
+        bounds, work = np.searchsorted(lrow, np.arange(len(leaf) + 1)), np.concatenate([[0], np.cumsum(many)])
+        own, found = leaf["home"].to_numpy(), []
+        at = 0
+        while at < len(leaf):
+            to = int(np.searchsorted(work[bounds], work[bounds[at]] + SOFT_WORK, side="right")) - 1
+            to = min(len(leaf), max(at + 1, min(to, at + SOFT_WORK // len(title))))
+            x = slice(bounds[at], bounds[to])
+            n = many[x]
+            go = np.repeat(start[lterm[x]] - (work[x] - work[x.start]), n) + np.arange(n.sum())
+            key = np.repeat((lrow[x] - at) * len(title), n) + self.row[go]
+            score = np.round(np.bincount(key, np.repeat(lw[x], n) * self.w[go], (to - at) * len(title)), 6)
+            hit = np.flatnonzero(score >= SOFT_LEAST)
+            row, c = hit // len(title) + at, hit % len(title)
+            other = own[row] != self.home[c]
+            row, c, score = row[other], c[other], score[hit][other]
+            order = np.lexsort((c, -score, row))
+            row, c, score = row[order], c[order], score[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = rank < SOFT_MOST
+            found.append((row[keep], c[keep], score[keep]))
+            at = to
+        row, c, score = (np.concatenate(x) for x in zip(*found))
+        at = pa.array(row)
+        return pa.RecordBatch.from_arrays([leaf["id"].take(at), leaf["name"].take(at), pa.array(title[c].tolist(), pa.string()), pa.array(score, pa.float64())], ["leaf_no", "dir", "category", "cosine"])
+
+
+def _soft_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best categories of this block for each of its leaves. Terms (kind 0) and categories (1) come before the leaves (2), which are never held."""
+    held: list = [[], []]
+    block = None
+    for b in batches:
+        kind = b["kind"].to_numpy()
+        for k in (0, 1):
+            if (kind == k).any():
+                if block is not None:
+                    raise ValueError("a block must be in order of its kinds")
+                held[k].append(b.filter(pa.array(kind == k)))
+        if (kind == 2).any() and all(held):
+            block = block or _Categories(*map(pa.Table.from_batches, held))
+            yield block.best(b.filter(pa.array(kind == 2)))
 
 
 def category_scores(lv: DataFrame, pg: DataFrame) -> DataFrame:
     """leaf_no, dir, category, cosine of leaves and the texts of other directories of their wiki, as far as these can be soft parents.
 
     One idf per wiki over leaves and categories; a category's text is its page's, and that of its
-    direct leaves. Leaves and categories of a wiki are compared in blocks of bounded size, and of each
-    block only the ``SOFT_MOST`` best categories of a leaf that reach ``SOFT_LEAST`` leave its task:
-    what leaves and categories have in common term by term is never written.
+    direct leaves, as often as it has pages. ``lv`` has the hashed ``terms`` of a leaf or its ``tokens``.
+    Leaves and categories of a wiki are compared in blocks, of which only the ``SOFT_MOST`` best categories
+    of a leaf that reach ``SOFT_LEAST`` leave the task: what leaves and categories have in common term by
+    term is never written. A block holds its categories and reads its leaves, so a wiki of any size writes its categories ``SOFT_PARTS`` times at most.
     """
     from thicket.functions.text import entry_text, tokenize
 
-    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
-    slim = cut(lv.where("wiki_id IS NOT NULL").select("wiki_id", "leaf_no", "dir", F.xxhash64("dir").alias("home"), hashed(F.col("tokens")).alias("terms")))
+    terms = F.col("terms") if "terms" in lv.columns else hashed(F.col("tokens"))
+    slim = lv.where("wiki_id IS NOT NULL").select("wiki_id", "leaf_no", "dir", F.xxhash64("dir").alias("home"), terms.alias("terms"))
     page = pg.where("wiki_id IS NOT NULL").select("wiki_id", F.xxhash64("dir").alias("home"), "dir", hashed(tokenize(entry_text(F.col("focus"), F.col("shared_covers")))).alias("terms"))
     both = slim.select("wiki_id", "home", F.lit(None).cast("string").alias("dir"), "terms").unionByName(page)
     cats = both.groupBy("wiki_id", "home").agg(
-        F.max("dir").alias("name"), F.count("dir").cast("int").alias("pages"),
+        F.max("dir").alias("name"), F.count("dir").alias("pages"),
         F.flatten(F.collect_list(F.when(F.col("dir").isNull(), F.col("terms")))).alias("below"), F.flatten(F.collect_list(F.when(F.col("dir").isNotNull(), F.col("terms")))).alias("own"),
     ).where("pages > 0")
-    below = F.when(F.col("pages") == 1, F.col("below")).otherwise(F.flatten(F.array_repeat("below", F.col("pages"))))
-    cats = cut(cats.select("wiki_id", "home", "name", "pages", F.concat(below, "own").alias("terms")))
+    cats = cats.mapInArrow(_category_terms, "wiki_id string, home long, name string, terms array<bigint>, counts array<bigint>")
     # blocks of a wiki: leaves by number, categories by directory
-    sizes = slim.groupBy("wiki_id").agg(F.count("*").alias("leaves")).join(cats.groupBy("wiki_id").agg(F.sum("pages").alias("pages")), "wiki_id")
-    sizes = cut(sizes.select("wiki_id", (F.col("leaves") + F.col("pages")).alias("n"), F.ceil(F.col("leaves") / SOFT_LEAVES).cast("int").alias("ls"), F.ceil(F.col("leaves") / SOFT_BELOW).cast("int").alias("cs")))
-    held = slim.select("wiki_id", F.explode(F.array_distinct("terms")).alias("t")).unionByName(cats.select("wiki_id", F.explode(F.array_distinct("terms")).alias("t")))
+    sizes = slim.groupBy("wiki_id").agg(F.count("*").alias("leaves")).join(page.groupBy("wiki_id").agg(F.count("*").alias("pages")), "wiki_id")
+    parts = F.least(F.ceil(F.col("leaves") / SOFT_LEAVES), F.lit(SOFT_PARTS))
+    sizes = cut(sizes.select("wiki_id", (F.col("leaves") + F.col("pages")).alias("n"), parts.cast("int").alias("ls"), F.ceil(F.greatest(F.col("leaves") / SOFT_BELOW, F.col("pages") / SOFT_PAGES)).cast("int").alias("cs")))
+    held = slim.select("wiki_id", F.explode(F.array_distinct("terms")).alias("t")).unionByName(cats.select("wiki_id", F.explode("terms").alias("t")))
     df = held.groupBy("wiki_id", "t").agg(F.count("*").alias("df"))
     df = df.groupBy("wiki_id", F.pmod("t", F.lit(64)).alias("slice")).agg(F.collect_list(F.struct("t", "df")).alias("x"))
     df = df.select("wiki_id", F.transform("x", lambda x: x["t"]).alias("terms"), F.transform("x", lambda x: x["df"]).alias("counts"))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     nothing = F.lit(None).cast("array<bigint>").alias("counts")
-    leaf = slim.where(F.size("terms") > 0).join(sizes, "wiki_id").select("wiki_id", F.pmod(F.xxhash64("leaf_no"), "ls").cast("int").alias("l"), every("cs").alias("c"), F.lit(0).alias("kind"), F.col("leaf_no").alias("id"), "home", F.col("dir").alias("name"), "terms", nothing)
-    cat = cats.where(F.size("terms") > 0).join(sizes, "wiki_id").select("wiki_id", every("ls").alias("l"), F.pmod("home", "cs").cast("int").alias("c"), F.lit(1).alias("kind"), F.col("home").alias("id"), "home", "name", "terms", nothing)
-    known = df.join(sizes, "wiki_id").withColumn("l", every("ls")).select("wiki_id", "l", every("cs").alias("c"), F.lit(2).alias("kind"), F.col("n").alias("id"), F.lit(0).cast("long").alias("home"), F.lit(None).cast("string").alias("name"), "terms", "counts")
-    return leaf.unionByName(cat).unionByName(known).groupBy("wiki_id", "l", "c").applyInArrow(_soft_block, "leaf_no long, dir string, category string, cosine double")
+    known = df.join(sizes, "wiki_id").withColumn("l", every("ls")).select("wiki_id", "l", every("cs").alias("c"), F.lit(0).alias("kind"), F.col("n").alias("id"), F.lit(0).cast("long").alias("home"), F.lit(None).cast("string").alias("name"), "terms", "counts")
+    cat = cats.where(F.size("terms") > 0).join(sizes, "wiki_id").select("wiki_id", every("ls").alias("l"), F.pmod("home", "cs").cast("int").alias("c"), F.lit(1).alias("kind"), F.col("home").alias("id"), "home", "name", "terms", "counts")
+    leaf = slim.where(F.size("terms") > 0).join(sizes, "wiki_id").select("wiki_id", F.pmod(F.xxhash64("leaf_no"), "ls").cast("int").alias("l"), every("cs").alias("c"), F.lit(2).alias("kind"), F.col("leaf_no").alias("id"), "home", F.col("dir").alias("name"), "terms", nothing)
+    rows = known.unionByName(cat).unionByName(leaf).repartition("wiki_id", "l", "c").sortWithinPartitions("wiki_id", "l", "c", "kind")
+    return rows.groupBy("wiki_id", "l", "c").applyInArrow(_soft_block, "leaf_no long, dir string, category string, cosine double")
 
 
 def soft_parents(lv: DataFrame, pg: DataFrame) -> DataFrame:
@@ -354,7 +390,7 @@ SQL["q_soft_parents"] = _SOFT.replace("{tokens}", TOKENS.format(STRIP.format("co
 def queries() -> dict:
     lv = lambda fn: lambda s, d: fn(leaves(s, d))
     both = lambda fn: lambda s, d: fn(leaves(s, d), pages(s, d))
-    texts = lambda fn: lambda s, d: fn(leaves(s, d, TEXTS), pages(s, d))
+    texts = lambda fn: lambda s, d: fn(leaf_terms(s, d), pages(s, d))
     return {
         "q_index_entries": lv(index_entries), "q_children": lambda s, d: children(pages(s, d)), "q_rebuild_index": both(rebuilt_index), "q_stubs": both(stubs),
         "q_shared_covers": lv(lambda x: shared(x, "covers")), "q_stub_tags": lv(lambda x: shared(x, "tags", 1)),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from thicket.functions.text import ENTRY_TEXT, TOKENS, entry_text, tokenize
+from thicket.functions.text import ENTRY_TEXT, TOKENS, entry_text, hashed, tokenize
 from thicket.sources.tables import CUR_SQL, counting_rows, table
 
 _STRINGS = T.ArrayType(T.StringType())
@@ -20,17 +20,27 @@ SCHEMA = T.StructType([
 ])
 _LEAF = ("wiki_id", "id", "path", "parent_dir", "depth", "type", "depth_role", "focus", "covers", "tags", "domains", "aliases", "parents", "overlay_targets", "links", "activation", "source", "size_bytes", "line_count", "updated_at", "loaded_at")
 
-#: Columns of a leaf that its directory and text are made of; those of the whole row are far wider.
-TEXTS = ("wiki_id", "parent_dir", "focus", "covers", "tags", "domains", "updated_at", "loaded_at")
 
-
-def leaves(spark: SparkSession, folder: str, columns: tuple[str, ...] = _LEAF) -> DataFrame:
-    """The counting row of each leaf, ``columns`` of it, with ``dir``, ``text`` and ``tokens``."""
-    cur = counting_rows(table(spark, folder, "leaf"), "leaf_no", *columns)
+def leaves(spark: SparkSession, folder: str) -> DataFrame:
+    """The counting row of each leaf with ``dir``, ``text`` and ``tokens``."""
+    cur = counting_rows(table(spark, folder, "leaf"), "leaf_no", *_LEAF)
     cur = cur.withColumn("dir", F.concat_ws("/", "wiki_id", "parent_dir"))
     return cur.withColumn("text", entry_text(F.col("focus"), F.col("covers"), F.col("tags"), F.col("domains"))).withColumn("tokens", tokenize(F.col("text")))
 
 
+def leaf_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """wiki_id, dir, leaf_no and ``terms``, the hashed tokens, of the counting row of each leaf.
+
+    They are made before that row is looked for, since texts would make up most of what is shuffled. Whoever
+    needs only ``wiki_id`` reads no text.
+    """
+    rows = table(spark, folder, "leaf").where("leaf_no IS NOT NULL")
+    terms = hashed(tokenize(entry_text(F.col("focus"), F.col("covers"), F.col("tags"), F.col("domains"))))
+    rows = rows.select("leaf_no", "wiki_id", F.struct(F.concat_ws("/", "wiki_id", "parent_dir").alias("dir"), terms.alias("terms")).alias("row"), F.struct("updated_at", "loaded_at").alias("at"))
+    latest = rows.groupBy("leaf_no").agg(F.max_by("wiki_id", "at").alias("wiki_id"), F.max_by("row", "at").alias("row"))
+    return latest.select("leaf_no", "wiki_id", "row.*")
+
+
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """Index pages with the directory they describe (``dir``) and the one they lie in (``up``)."""
     p = table(spark, folder, "index_page")
