@@ -1,15 +1,19 @@
 """Clusters of siblings: threshold graph, components, the best partition, names and purposes.
 
-Components are found by passing the smallest label along edges and along labels, all directories at
-once; each round halves what is left of a chain. Directories of more than ``COARSE`` leaves are
+Components of a graph of any size are found by passing the smallest label along edges and along labels;
+each round halves what is left of a chain. Those of a directory are found in one task. Directories of more than ``COARSE`` leaves are
 partitioned by farthest-first k-means instead, one directory to a task, whose likeness is worked out
 in pieces of bounded size.
 """
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from thicket.functions.text import fnv1a, valid_slug
@@ -25,6 +29,8 @@ LEAST, MOST, BLOB, COARSE = 3, 8, 0.75, SMALL
 COARSE_LEAST, COARSE_MOST, COARSE_EACH, COARSE_ROUNDS = 3, 30, 8, 20
 #: Clusters, and weights of leaves, that are compared at a time; this bounds memory and changes no result.
 COARSE_WIDTH, COARSE_WEIGHTS = 256, 2_000
+#: Leaves of small directories whose components are found in one task; this bounds memory and changes no result.
+BLOCK = 10_000
 
 
 def threshold_edges(aff: DataFrame) -> DataFrame:
@@ -48,13 +54,85 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels
 
 
-def partitions(lv: DataFrame, aff: DataFrame) -> DataFrame:
-    """threshold, dir, leaf_no, label for directories small enough, at every threshold."""
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that is reachable from each of ``n`` nodes by the edges."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _block(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The leaves of some directories in order, their numbers, and the pairs by places of their leaves, with affinities."""
+    table = table.combine_chunks()
+    alone = pc.is_null(table["leaf_b"])
+    nodes, pairs = table.filter(alone).sort_by("leaf_no"), table.filter(pc.invert(alone))
+    leaf = nodes["leaf_no"].to_numpy()
+    return nodes, leaf, *(np.searchsorted(leaf, pairs[c].to_numpy()) for c in ("leaf_no", "leaf_b")), pairs["affinity"].to_numpy()
+
+
+def _partition_block(table: pa.Table) -> pa.Table:
+    """threshold, dir, leaf_no, label of some directories."""
+    nodes, leaf, a, b, affinity = _block(table)
+    labels = [leaf[_labels(len(leaf), a[affinity >= t], b[affinity >= t])] for t in THRESHOLDS]
+    return pa.concat_tables(pa.table({"threshold": np.full(len(leaf), t), "dir": nodes["dir"], "leaf_no": leaf, "label": label}) for t, label in zip(THRESHOLDS, labels))
+
+
+def _half_up(x: float) -> float:
+    """``x`` with six decimals, as Spark rounds."""
+    return float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+
+
+def _cluster_block(table: pa.Table) -> pa.Table:
+    """dir, label, leaf_no, threshold of the accepted clusters of some directories; as ``shape_scores`` says, at each one's best threshold."""
+    nodes, leaf, a, b, affinity = _block(table)
+    names, of = np.unique(nodes["dir"].to_numpy(zero_copy_only=False), return_inverse=True)
+    n = np.bincount(of)
+    best, at, label = np.zeros(len(names)), np.full(len(names), -1), []
+    for i, t in enumerate(THRESHOLDS):
+        own = _labels(len(leaf), a[affinity >= t], b[affinity >= t])
+        size, inside = np.bincount(own, minlength=len(leaf)), own[a] == own[b]
+        total = np.bincount(own[a[inside]], affinity[inside], len(leaf))
+        fit = np.flatnonzero((size >= LEAST) & (size <= MOST))
+        # the label of a component is one of its leaves, so it lies in its directory
+        add = lambda x: np.bincount(of[fit], x, len(names))
+        k, largest = np.bincount(of[fit], minlength=len(names)), np.zeros(len(names), np.int64)
+        np.maximum.at(largest, of, size)
+        covered, cohesion, pairs = add(size[fit]), add(total[fit]), add(size[fit] * (size[fit] - 1) / 2)
+        for d in np.flatnonzero((k > 0) & (largest <= BLOB * n)):
+            score = _half_up(float((covered[d] / n[d]) * (1 + 0.25 * (k[d] - 1)) * (0.5 + 0.5 * cohesion[d] / pairs[d])))
+            if score > best[d]:
+                best[d], at[d] = score, i
+        label.append(np.where((size[own] >= LEAST) & (size[own] <= MOST), own, -1))
+    every = np.array(label)[at[of], np.arange(len(leaf))]
+    keep = np.flatnonzero((at[of] >= 0) & (every >= 0))
+    return pa.table({"dir": nodes["dir"].take(pa.array(keep)), "label": leaf[every[keep]], "leaf_no": leaf[keep], "threshold": np.array(THRESHOLDS)[at[of[keep]]]})
+
+
+def _blocks(lv: DataFrame, aff: DataFrame) -> DataFrame:
+    """dir, leaf_no, leaf_b, affinity, block: leaves and pairs of directories small enough, about ``BLOCK`` leaves to a block."""
     small = lv.groupBy("dir").agg(F.count("*").alias("k")).where((F.col("k") >= LEAST) & (F.col("k") <= COARSE)).select("dir")
-    nodes = lv.join(small, "dir", "left_semi").select("dir", "leaf_no", F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("threshold"))
-    g = F.concat_ws("@", "dir", F.col("threshold").cast("string"))
-    found = components(nodes.select(g.alias("g"), F.col("leaf_no").alias("n")), threshold_edges(aff).join(small, "dir", "left_semi").select(g.alias("g"), F.col("leaf_a").alias("a"), F.col("leaf_b").alias("b")))
-    return nodes.withColumn("g", g).join(found.withColumnRenamed("n", "leaf_no"), ["g", "leaf_no"]).select("threshold", "dir", "leaf_no", "label")
+    blocks = max(1, -(-lv.count() // BLOCK))
+    nodes = lv.select("dir", "leaf_no", F.lit(None).cast("long").alias("leaf_b"), F.lit(None).cast("double").alias("affinity"))
+    rows = nodes.unionByName(aff.select("dir", F.col("leaf_a").alias("leaf_no"), "leaf_b", "affinity")).join(small, "dir", "left_semi")
+    return rows.withColumn("block", F.pmod(F.xxhash64("dir"), F.lit(blocks)))
+
+
+def partitions(lv: DataFrame, aff: DataFrame) -> DataFrame:
+    """threshold, dir, leaf_no, label for directories small enough, at every threshold.
+
+    A directory of this size has few pairs, so its components at all thresholds are found in one task, together
+    with those of other directories.
+    """
+    return _blocks(lv, aff).groupBy("block").applyInArrow(lambda t: _partition_block(t), "threshold double, dir string, leaf_no long, label long")
 
 
 def shape_scores(parts: DataFrame, aff: DataFrame) -> DataFrame:
@@ -76,11 +154,7 @@ def shape_scores(parts: DataFrame, aff: DataFrame) -> DataFrame:
 
 def clusters(lv: DataFrame, aff: DataFrame) -> DataFrame:
     """dir, label, leaf_no, threshold of the accepted clusters of each directory's best threshold (the lowest on a tie)."""
-    parts = cut(partitions(lv, aff))
-    best = shape_scores(parts, aff).groupBy("dir").agg(F.max(F.struct("score", (-F.col("threshold")).alias("t"))).alias("b")).where("b.score > 0").select("dir", (-F.col("b.t")).alias("threshold"))
-    mine = parts.join(best, ["dir", "threshold"])
-    sizes = mine.groupBy("dir", "label").agg(F.count("*").alias("size")).where(F.col("size").between(LEAST, MOST)).select("dir", "label")
-    return mine.join(sizes, ["dir", "label"]).select("dir", "label", "leaf_no", "threshold")
+    return _blocks(lv, aff).groupBy("block").applyInArrow(lambda t: _cluster_block(t), "dir string, label long, leaf_no long, threshold double")
 
 
 def detect(lv: DataFrame, aff: DataFrame) -> DataFrame:
@@ -196,7 +270,8 @@ def coarse_clusters(lv: DataFrame, more_than: int = COARSE) -> DataFrame:
     n = lv.groupBy("dir").agg(F.count("*").alias("k")).where(F.col("k") > more_than)
     from thicket.operators.similarity import unit_weights
 
-    return unit_weights(weights(lv)).join(n, "dir").groupBy("dir").applyInPandas(lambda pdf: _coarse(pdf), "dir string, leaf_no long, label long")
+    # weights are of a directory, so those of the others need not be made
+    return unit_weights(weights(lv.join(n.select("dir"), "dir", "left_semi"))).groupBy("dir").applyInPandas(lambda pdf: _coarse(pdf), "dir string, leaf_no long, label long")
 
 
 def same_sets(one: DataFrame, other: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from thicket.functions.text import entry_text, tokenize
 from thicket.operators import cluster, routing, tree
-from thicket.operators.similarity import affinity, bound_vectors
+from thicket.operators.similarity import affinity as every_affinity, bound_vectors, small_affinity as affinity
 from thicket.plans.scale import cut, fresh
 from thicket.sources.entries import PAGES_SQL, LEAVES_SQL, leaves, pages
 from thicket.sources.tables import table
@@ -74,7 +74,7 @@ def absorb(lv: DataFrame, gone: DataFrame) -> DataFrame:
     for c in lists:
         kept = kept.withColumn(c, F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.array_compact(F.array_union(some(c), F.col(f"_{c}"))))).drop(f"_{c}")
     kept = kept.withColumn("text", entry_text(F.col("focus"), F.col("covers"), F.col("tags"), F.col("domains")))
-    return kept.withColumn("tokens", tokenize(F.col("text"))).select(*lv.columns)
+    return (kept.withColumn("tokens", tokenize(F.col("text"))) if "tokens" in lv.columns else kept).select(*lv.columns)
 
 
 def _unseen(lv: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -110,14 +110,15 @@ def converge(lv: DataFrame, pg: DataFrame, vectors: DataFrame, probes: DataFrame
             continue
         open_ = now if pinned is None else now.join(pinned, "wiki_id", "left_anti")
         part, nested = _unseen(open_, nested)
-        part = fresh(part)
+        part = fresh(part.withColumn("tokens", tokenize(F.col("text"))))
         # pairs are clustered in directories of these sizes only
         fit = part.groupBy("dir").agg(F.count("*").alias("k")).where(F.col("k").between(cluster.LEAST, cluster.COARSE)).select("dir")
         aff = fresh(affinity(part.join(fit, "dir", "left_semi"), vectors))
         cl = fresh(cluster.detect(part, aff))
         if cl.isEmpty():
             break
-        after = fresh(moved(open_, nest_targets(part, cl)))
+        # names need the words of a directory's leaves only where it has clusters
+        after = fresh(moved(open_, nest_targets(part.join(cl.select("dir").distinct(), "dir", "left_semi"), cl)))
         tried = cut(cl.select("dir").distinct().join(open_.select("dir", "wiki_id").distinct(), "dir").select("wiki_id").distinct())
         of = lambda df: df.join(tried, "wiki_id", "left_semi")
         fine = routing.gate(routing.routing_cost(of(open_), of(pg), probes), routing.routing_cost(of(after), of(pg), probes)).where("by_likeness").select("wiki_id")
@@ -213,14 +214,15 @@ SELECT wiki_id, operator, count(*) AS n FROM sug GROUP BY ALL"""),
 def queries() -> dict:
     def proposals(s: SparkSession, d: str) -> DataFrame:
         lv = leaves(s, d)
-        aff = cut(affinity(lv, bound_vectors(lv, table(s, d, "embeddings"))))
+        aff = cut(every_affinity(lv, bound_vectors(lv, table(s, d, "embeddings"))))
         parts = cut(cluster.partitions(lv, aff))
         t = parts.groupBy("dir", "threshold", "label").agg(F.array_sort(F.collect_set("leaf_no")).alias("members")).where(F.size("members").between(cluster.LEAST, cluster.MOST))
         name = F.concat_ws("@", F.col("label").cast("string"), F.col("threshold").cast("string"))
         return t.select("dir", name.alias("proposal"), F.col("threshold").alias("score"), "members")
 
     def converged(s: SparkSession, d: str) -> DataFrame:
-        lv = leaves(s, d)
+        # rounds carry only what they look at or change
+        lv = leaves(s, d).drop("tokens", "depth_role", "parents", "source", "line_count", "updated_at", "loaded_at")
         _, log = converge(lv, pages(s, d), cut(bound_vectors(lv, table(s, d, "embeddings"))), routing.probes(s))
         return s.createDataFrame(log, "round int, operator string, applied long")
 
@@ -228,7 +230,7 @@ def queries() -> dict:
         "q_descend": lambda s, d: descend(table(s, d, "documents")),
         "q_shape_check": lambda s, d: shape_check(leaves(s, d), table(s, d, "documents")),
         "q_greedy_disjoint": lambda s, d: greedy_disjoint(proposals(s, d)).select("dir", "proposal", F.array_join(F.transform("members", lambda x: x.cast("string")), " ").alias("members")),
-        "q_nest_apply": lambda s, d: (lambda lv: nest_targets(lv, cluster.detect(lv, cut(affinity(lv, bound_vectors(lv, table(s, d, "embeddings")))))))(leaves(s, d)),
+        "q_nest_apply": lambda s, d: (lambda lv: nest_targets(lv, cluster.detect(lv, cut(every_affinity(lv, bound_vectors(lv, table(s, d, "embeddings")))))))(leaves(s, d)),
         "q_balance": lambda s, d: balance(leaves(s, d)),
         "q_convergence": converged,
         "q_root_containment": lambda s, d: contain_roots(leaves(s, d).withColumn("parent_dir", F.when(F.col("type") == "overlay", "").otherwise(F.col("parent_dir"))).withColumn("dir", F.concat_ws("/", "wiki_id", "parent_dir"))),

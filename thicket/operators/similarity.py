@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from thicket.functions.text import content_hash, jaccard, pair_key
 from thicket.functions.vectors import stand_in_vectors
+from thicket.plans.scale import cut
 from thicket.sources.entries import LEAVES_SQL
 
 #: Tier 0: same from, different up to. Tier 1 likewise. The middle band of tier 1 is split here.
@@ -145,6 +146,37 @@ def affinity(leaves: DataFrame, vectors: DataFrame) -> DataFrame:
     return p.select("dir", "leaf_a", "leaf_b", F.round(total, 9).alias("affinity"))
 
 
+def small_affinity(leaves: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``affinity`` of directories of at most ``SMALL`` leaves, without those that are larger.
+
+    All that is known of a leaf is with its siblings before they are paired, so only leaves are shuffled and no pairs.
+    """
+    few = leaves.groupBy("dir").agg(F.count("*").alias("_n")).where(F.col("_n") <= SMALL).select("dir")
+    small = leaves.join(few, "dir", "left_semi")
+    terms = unit_weights(weights(small)).groupBy("leaf_no").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "w")))).alias("w"))
+    none = F.array().cast("array<string>")
+    keys = F.transform(F.coalesce(F.col("activation.keyword_matches"), none), F.lower)
+    values = lambda c: F.array_distinct(F.array_compact(F.coalesce(c, none)))
+    vec = vectors.select("leaf_no", "vec", F.sqrt(dot(F.col("vec"), F.col("vec"))).alias("norm"))
+    one = small.select("dir", "leaf_no", values("tags").alias("t"), values(keys).alias("k")).join(terms, "leaf_no", "left").join(vec, "leaf_no")
+    one = cut(one.select("dir", F.col("leaf_no"), F.struct("t", "k", F.map_keys("w").alias("terms"), F.map_values("w").alias("ws"), "w", "vec", "norm").alias("x")))
+    a, b = (one.select("dir", F.col("leaf_no").alias(f"leaf_{s}"), F.col("x").alias(s)) for s in "ab")
+    met = a.join(b, "dir").where("leaf_a < leaf_b")
+    cosine = F.aggregate(F.arrays_zip("a.terms", "a.ws"), F.lit(0.0), lambda s, x: s + x["ws"] * F.coalesce(F.try_element_at("b.w", x["terms"]), F.lit(0.0)))
+    cosine = F.coalesce(F.round(cosine, 6), F.lit(0.0))
+    n = F.col("a.norm") * F.col("b.norm")
+    similarity = F.when((F.size("a.vec") != F.size("b.vec")) | (F.size("a.vec") == 0) | (n == 0), 0.0).otherwise(dot(F.col("a.vec"), F.col("b.vec")) / n)
+
+    def like(c: str) -> Column:
+        both, every = F.size(F.array_intersect(f"a.{c}", f"b.{c}")), F.size(f"a.{c}") + F.size(f"b.{c}")
+        return F.when(every == 0, 0.0).otherwise(both / (every - both))
+
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    w0, w1, wt, wk = WEIGHTS
+    total = w0 * cosine + w1 * clip(F.round(similarity, 6)) + wt * like("t") + wk * like("k")
+    return met.select("dir", "leaf_a", "leaf_b", F.round(total, 9).alias("affinity"))
+
+
 # ---------------------------------------------------------------- DuckDB twins
 
 BASE = f"""WITH {LEAVES_SQL},
